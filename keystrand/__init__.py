@@ -1,13 +1,3 @@
-"""keystrand: record sorting, merging, partitioning and verification as Spark plans.
-
-The package's own functions are pickled by value, so executors need no copy
-of it on their path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""keystrand: record sorting, merging, partitioning and verification as Spark plans."""
 
 __version__ = "0.1.0"
