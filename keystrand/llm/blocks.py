@@ -42,7 +42,7 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        squeeze, seq, ids, lens, parts, size = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 32, [], [], [], 0
+        squeeze, seq, ids, lens, parts, size = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 20, [], [], [], 0
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"block": pa.array([seq], pa.int64()), "size": pa.array([size], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "lens": pa.array([lens], pa.list_(pa.int64())), "text": pa.array([squeeze.compress(b"".join(parts))], pa.binary())})
