@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, sharding, substring_dedup
+from . import exact_dedup, jaccard, mixing, sharding, substring_dedup, topk
 from .shared import documents
 
 
@@ -13,6 +13,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))
 
@@ -30,7 +35,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op4_jaccard_join, op7_lpt_sharding, op8_exact_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_topk_search, op4_jaccard_join, op7_lpt_sharding, op8_exact_dedup, op10_substring_dedup)}
 
 ORACLE = {
     "op1_source_mixing": r"""
@@ -100,4 +105,13 @@ ORACLE = {
         m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.x = d.doc_id""",
+    "op3_topk_search": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
