@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, sharding, substring_dedup, topk
+from . import bpe, exact_dedup, jaccard, mixing, sharding, substring_dedup, topk
 from .shared import documents
 
 
@@ -13,6 +13,14 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -35,7 +43,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_topk_search, op4_jaccard_join, op7_lpt_sharding, op8_exact_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_bpe, op3_topk_search, op4_jaccard_join, op7_lpt_sharding, op8_exact_dedup, op10_substring_dedup)}
 
 ORACLE = {
     "op1_source_mixing": r"""
