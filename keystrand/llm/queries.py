@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, mixing, pitman_yor, sharding, substring_dedup, topk
+from . import bpe, exact_dedup, jaccard, language, mixing, pitman_yor, sharding, substring_dedup, topk
 from .shared import documents
 
 
@@ -42,12 +42,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return found.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_bpe, op3_topk_search, op4_jaccard_join, op6_pitman_yor, op7_lpt_sharding, op8_exact_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_bpe, op3_topk_search, op4_jaccard_join, op6_pitman_yor, op7_lpt_sharding, op8_exact_dedup, op9_language, op10_substring_dedup)}
 
 ORACLE = {
     "op1_source_mixing": r"""
