@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, language, mixing, pitman_yor, sharding, substring_dedup, topk
+from . import bpe, exact_dedup, jaccard, language, mixing, pitman_yor, quality, sharding, substring_dedup, topk
 from .shared import documents
 
 
@@ -30,6 +30,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_bpe, op3_topk_search, op4_jaccard_join, op6_pitman_yor, op7_lpt_sharding, op8_exact_dedup, op9_language, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_bpe, op3_topk_search, op4_jaccard_join, op5_quality, op6_pitman_yor, op7_lpt_sharding, op8_exact_dedup, op9_language, op10_substring_dedup)}
 
 ORACLE = {
     "op1_source_mixing": r"""
