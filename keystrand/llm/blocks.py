@@ -12,6 +12,7 @@ hot key loads its owner with one entry for each block only.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -33,6 +34,15 @@ REQUEST_SCHEMA = "part int, block long, n int, keys binary, extra binary"
 ANSWER_SCHEMA = "block long, part int, answer binary"
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: Python workers live on, idle, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write the documents as blocks; a text is never cut, so one long text may be a block of its own.
 
@@ -60,6 +70,7 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     seq, ids, lens, parts, size = seq + 1, [], [], [], 0
         if ids:
             yield row()
+        trim()
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
@@ -121,7 +132,7 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
 
 
-def words_of(block: Block, lower: bool, piece: int = 4 << 20) -> Words:
+def words_of(block: Block, lower: bool, piece: int = 1 << 20) -> Words:
     """Find words (longest runs of other than ASCII white space) and hash their bytes, A-Z as a-z if ``lower``."""
     data, bounds = block.data, block.bounds
     empty = np.zeros(0, np.int64)
@@ -228,6 +239,7 @@ def asked(blocks: DataFrame, ask: Callable[[Block], Iterator[pa.RecordBatch]]) -
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from ask(opened(batch.slice(i, 1).to_pylist()[0]))
+                trim()
 
     return blocks.mapInArrow(run, REQUEST_SCHEMA)
 
@@ -249,6 +261,7 @@ def answered(wanted: DataFrame, answer: Callable[[Gathered], list[bytes]]) -> Da
         bounds = np.concatenate(([0], np.cumsum(n)))
         keys = np.concatenate([stretch_keys(x.as_py(), k) for x, k in zip(table.column("keys"), n, strict=True)])
         blobs = answer(Gathered(table.column("block").to_pylist(), bounds, keys, table.column("extra").to_pylist()))
+        trim()
         return pa.table({"block": table.column("block"), "part": table.column("part"), "answer": pa.array(blobs, pa.binary())})
 
     return wanted.groupBy("part").applyInArrow(run, ANSWER_SCHEMA)
@@ -264,7 +277,9 @@ def with_answers(blocks: DataFrame, answers: DataFrame, finish: Callable[[Block,
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = right.column("kind").to_pylist() if kinds else [0] * right.num_rows
         blobs = dict(zip(zip(kind, right.column("part").to_pylist(), strict=True), right.column("answer").to_pylist(), strict=True))
-        return finish(opened(left.to_pylist()[0]), blobs)
+        out = finish(opened(left.to_pylist()[0]), blobs)
+        trim()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
-from .shared import release, written
+from .shared import columns, fresh, release, written
 
 SETS = "row long, doc_id long, n long, sig1 long, sig2 long, postings array<long>, members binary"
 #: Bytes of members in a tile's side, about; a larger cluster is cut into so many sides.
-TILE_BYTES = 16 << 20
+TILE_BYTES = 8 << 20
 
 
 def shingle_sets(block: B.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +190,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
         for at in np.split(order, np.flatnonzero(np.diff(tiles[order])) + 1):
             if len(at) > 1:
                 found += [(int(row[at[x]]), int(row[at[y]])) for x, y in forest([np.frombuffer(members[int(i)].as_py(), np.uint64) for i in at], percent)]
+        B.trim()
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     links = written(member.groupBy("task").applyInArrow(link, "a long, b long"))
@@ -212,3 +213,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "
     low = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     # a component is unique in the small side, so a large one can be split over tasks
     return found.join(low, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def survivors(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all columns.
+
+    Rows that share an id (or have none) stay together if one of them stays.
+    """
+    key = fresh(docs, "kept_id")
+    found = written(jaccard_join(docs, k, percent, id_col, text_col))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi").select(*columns(docs))
