@@ -21,7 +21,7 @@ def ord_of_bits(bits: Column) -> Column:
 
 def key_of(key_ord: Column) -> Column:
     """The unsigned value."""
-    return (key_ord.cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return (key_ord.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
 def record_bytes(payload: Column) -> Column:

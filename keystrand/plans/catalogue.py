@@ -1,17 +1,317 @@
-"""The catalogue of queries over the reference tables."""
+"""Queries over the test tables, one for each operator, with equivalent SQL.
+
+Orders stand for record files (id, key, size, position), events for logs.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sorting
+from ..functions.keys import HEADER_BYTES, TOP_BIT, formatted, key_of, ord_of_bits, record_bytes
+from ..operators import benchlog, merging, partitioning, runs, sorting, verify
+from ..sources.generate import generate_records
+from ..sources.recordfile import register
+
+CHUNK = 30_000
+RUN_ROWS = 1_000
+WORKERS = 7
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records: id, k, sz."""
+    size = F.octet_length("o_orderpriority").cast("long") + HEADER_BYTES
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), size.alias("sz"))
+
+
+def _file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the position in their file."""
+    return sorting.with_position(_records(spark, sf_dir), "id", name="rn").withColumn("rn", F.col("rn").cast("long"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.fixed_runs(_file(spark, sf_dir), RUN_ROWS, "rn")
+
+
+def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events")
+    return events.select(F.col("event_type").alias("series"), (F.pmod("user_id", F.lit(8)) + 1).alias("workers"), F.col("value").alias("seconds"))
+
+
+def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchlog.means(_timings(spark, sf_dir), "series", "workers")
 
 
 def total_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"))
-    return sorting.with_position(orders, "k", "id")
+    return sorting.with_position(_records(spark, sf_dir).select("id", "k"), "k", "id")
+
+
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return sorting.top_k(orders, 100, F.col("o_totalprice").desc(), "o_orderkey")
+
+
+def tie_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return sorting.tie_rank(lines, "l_orderkey")
+
+
+def unsigned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsigned keys: every other order's key has its top bit set, and still sorts as a number."""
+    bits = F.when(F.col("id") % 2 == 0, F.col("id").bitwiseXOR(F.lit(TOP_BIT))).otherwise(F.col("id"))
+    rows = _records(spark, sf_dir).select("id", ord_of_bits(bits).alias("key_ord"))
+    return sorting.with_position(rows, "key_ord").select("id", key_of(F.col("key_ord")).cast("string").alias("key"), "position")
+
+
+def record_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.col("o_orderpriority").cast("binary")
+    orders = _read(spark, sf_dir, "orders")
+    return orders.select(F.col("o_orderkey").alias("id"), formatted(ord_of_bits(F.col("o_custkey")), payload).alias("line"), record_bytes(payload).alias("bytes"))
+
+
+def fixed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_stats(_runs(spark, sf_dir), "k", "sz")
+
+
+def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _file(spark, sf_dir).withColumn("file", F.lit("orders"))
+    cut = runs.greedy_chunks(rows, CHUNK, "sz", "file", "rn")
+    return cut.groupBy("chunk_id").agg(F.min("rn").alias("first_rn"), F.max("rn").alias("last_rn"), F.sum("sz").cast("long").alias("bytes"))
+
+
+def budget_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _file(spark, sf_dir).withColumn("file", F.lit("orders"))
+    cut = runs.budget_runs(rows, CHUNK, "sz", "file", "rn")
+    return cut.groupBy("run_id").agg(F.min("rn").alias("first_rn"), F.max("rn").alias("last_rn"), F.sum("sz").cast("long").alias("bytes"))
+
+
+def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = partitioning.round_robin(_file(spark, sf_dir), WORKERS, "rn")
+    return dealt.groupBy("worker").agg(F.count("*").alias("n"), F.sum("sz").cast("long").alias("bytes"), F.sum("k").cast("long").alias("key_sum"))
+
+
+def pair_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("k"), F.col("s_suppkey").alias("id"))
+    right = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("k"), F.col("c_custkey").alias("id"))
+    return merging.pair_merge(left, right, "k", "id").withColumn("src", F.col("src").cast("long"))
+
+
+def kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.kway_merge(_runs(spark, sf_dir).select("id", "k", "run_id"), "k", "run_id", "id")
+
+
+def merge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = -(-_read(spark, sf_dir, "orders").count() // RUN_ROWS)
+    return merging.merge_levels(spark, count)
+
+
+def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = 300
+    rows = runs.fixed_runs(_file(spark, sf_dir), per, "rn")
+    count = -(-_read(spark, sf_dir, "orders").count() // per)
+    grouped = merging.merge_groups(rows, count, 8)
+    return grouped.groupBy("group_id", "run_id").agg(F.count("*").alias("n"), F.min("k").alias("kmin"))
+
+
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events").select("event_id", "value")
+    return verify.violations(events, "value", "event_id")
+
+
+def is_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events").select("event_id", "ts")
+    return verify.is_sorted(events, "ts", "event_id")
+
+
+def positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File order against key order."""
+    left = _file(spark, sf_dir).select(F.col("rn").alias("position"), "k", "sz")
+    right = sorting.with_position(_records(spark, sf_dir), "k", "id").select(F.col("position").cast("long").alias("position"), "k", "sz")
+    return verify.positional_diff(left, right, ["k", "sz"])
+
+
+def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir)
+    return verify.multiset_diff(rows.where("id % 3 = 0").select("k", "sz"), rows.where("id % 3 = 1").select("k", "sz"))
+
+
+def same_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge keeps the multiset of its runs: equal fingerprints."""
+    rows = _runs(spark, sf_dir).select("id", "k", "run_id")
+    merged = merging.kway_merge(rows, "k", "run_id", "id").select("id", "k", "run_id")
+    a, b = verify.fingerprint(rows), verify.fingerprint(merged)
+    return a.join(F.broadcast(b.withColumnsRenamed({"n": "m", "hash_sum": "other"}))).select("n", ((F.col("n") == F.col("m")) & (F.col("hash_sum") == F.col("other"))).alias("same"))
+
+
+def speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = _means(spark, sf_dir)
+    base = mean.where("workers = 1").agg(F.min("mean_s").alias("base_s"))
+    found = benchlog.speedup(mean, base)
+    return found.select("series", "workers", *[F.round(c, 4).alias(c) for c in ("mean_s", "speedup", "efficiency")])
+
+
+def weak_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchlog.weak_scaling(_means(spark, sf_dir))
+    return found.select("series", "workers", F.round("weak", 4).alias("weak"), F.round("weak_per_worker", 4).alias("weak_per_worker"))
+
+
+def best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchlog.best(_means(spark, sf_dir)).select("series", "workers", F.round("mean_s", 4).alias("mean_s"))
+
+
+def worker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchlog.worker_counts(_timings(spark, sf_dir), "workers")
+
+
+def log_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _timings(spark, sf_dir).groupBy("series", "workers").agg(F.count("*").cast("double").alias("n"))
+    return benchlog.export(counts, "n", "runs")
+
+
+def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs written from events and parsed again: one file for each event type, one section for each worker count."""
+    rows = _timings(spark, sf_dir).groupBy("series", "workers").agg(F.count("*").alias("n"), F.min(F.round("seconds", 2)).alias("low"), F.max(F.round("seconds", 2)).alias("high"))
+    line = lambda c: F.format_string("# elapsed time (mergesort_%s): %ss\n", F.col("series"), F.col(c).cast("string"))
+    section = F.concat(F.format_string("(nthreads=%s, max_mem=%s)\n", F.col("workers").cast("string"), F.col("n").cast("string")), line("low"), line("high"))
+    logs = rows.select("series", F.struct("workers", section.alias("text")).alias("s")).groupBy("series").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "").alias("text"))
+    found = benchlog.parse(logs.select(F.concat("series", F.lit(".log")).alias("file"), "text"))
+    return found.groupBy("file", "algo", "nthreads", "max_mem").agg(F.min("seconds").alias("low"), F.max("seconds").alias("high"), F.count("*").alias("timings"))
+
+
+def mem_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = _records(spark, sf_dir).agg(F.sum("sz").alias("bytes"))
+    budget = partitioning.memory_budget(F.col("bytes"))
+    return total.select(F.col("bytes").cast("long").alias("bytes"), budget.alias("budget"), partitioning.memory_cap(F.lit(8 * partitioning.GIB), F.col("bytes")).alias("cap"), partitioning.chunk_bytes(F.col("bytes"), budget, 8).alias("chunk"))
+
+
+def generator_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _read(spark, sf_dir, "orders").count()
+    rows = generate_records(spark, n)
+    return rows.agg(F.count("*").alias("n"), F.min("len").alias("shortest"), F.max("len").alias("longest"), F.sum((F.octet_length("payload") != F.col("len")).cast("long")).alias("wrong"))
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/') if base else tempfile.mkdtemp(prefix='keystrand-')}/{uuid.uuid4().hex}"
+
+
+def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as a record file in key order, and read again."""
+    register(spark)
+    orders = _read(spark, sf_dir, "orders")
+    rows = orders.select(ord_of_bits(F.col("o_orderkey")).alias("key_ord"), F.col("o_orderpriority").cast("binary").alias("payload"))
+    path = _folder(spark)
+    rows.orderBy("key_ord").write.format("recordfile").mode("append").save(path)
+    back = spark.read.format("recordfile").option("splitBytes", 1 << 20).load(path)
+    return back.select(key_of(F.col("key_ord")).cast("long").alias("key"), "len", F.col("payload").cast("string").alias("payload"))
+
+
+def replacement_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by replacement selection within 8 KB: all in order, and fewer than sorted chunks of that size would be."""
+    return runs.replacement_runs(_file(spark, sf_dir), 8 << 10, "k", "sz", "rn")
+
+
+QUERIES = {f.__name__: f for f in (
+    total_sort, top_k, tie_rank, unsigned_order, record_format, fixed_runs, greedy_chunks, budget_runs, round_robin, pair_merge, kway_merge, merge_levels, merge_groups,
+    violations, is_sorted, positional_diff, multiset_diff, same_multiset, speedup, weak_scaling, best_config, worker_counts, log_export, log_parse, mem_budget, generator_stats, roundtrip, replacement_runs,
+)}
 
+_R = "r AS (SELECT o_orderkey AS id, o_custkey AS k, 12 + strlen(o_orderpriority) AS sz, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)"
+_M = "m AS (SELECT event_type AS series, user_id % 8 + 1 AS workers, avg(value) AS mean_s FROM events GROUP BY 1, 2)"
 
-QUERIES = {"total_sort": total_sort}
-ORACLE = {"total_sort": "SELECT o_orderkey AS id, o_custkey AS k, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS position FROM orders"}
+ORACLE = {
+    "total_sort": "SELECT o_orderkey AS id, o_custkey AS k, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS position FROM orders",
+    "top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
+    "tie_rank": "SELECT l_orderkey, l_linenumber, l_extendedprice, rank() OVER (ORDER BY l_orderkey) AS rank FROM lineitem",
+    "unsigned_order": """
+        WITH u AS (SELECT o_orderkey AS id, o_orderkey::HUGEINT + CASE WHEN o_orderkey % 2 = 0 THEN 9223372036854775808::HUGEINT ELSE 0 END AS key FROM orders)
+        SELECT id, key::VARCHAR AS key, row_number() OVER (ORDER BY key) AS position FROM u""",
+    "record_format": """
+        SELECT o_orderkey AS id, o_custkey || ' ' || strlen(o_orderpriority) || ' ' || hex(o_orderpriority) AS line, (12 + strlen(o_orderpriority))::BIGINT AS bytes FROM orders""",
+    "fixed_runs": f"""
+        WITH {_R}
+        SELECT ((rn - 1) // {RUN_ROWS})::BIGINT AS run_id, count(*) AS n, min(k) AS kmin, max(k) AS kmax, sum(sz)::BIGINT AS bytes FROM r GROUP BY 1""",
+    "greedy_chunks": f"""
+        WITH RECURSIVE {_R},
+        c AS (SELECT rn, sum(sz) OVER (ORDER BY rn) AS e FROM r),
+        t AS (
+            SELECT 0::BIGINT AS chunk_id, 0::HUGEINT AS s, (SELECT coalesce(min(e) FILTER (e >= {CHUNK}), max(e)) FROM c) AS e
+            UNION ALL
+            SELECT chunk_id + 1, t.e, (SELECT coalesce(min(c.e) FILTER (c.e >= t.e + {CHUNK}), max(c.e)) FROM c) FROM t WHERE t.e < (SELECT max(e) FROM c))
+        SELECT t.chunk_id, min(c.rn) AS first_rn, max(c.rn) AS last_rn, (t.e - t.s)::BIGINT AS bytes
+        FROM t JOIN c ON c.e > t.s AND c.e <= t.e GROUP BY t.chunk_id, t.s, t.e""",
+    "budget_runs": f"""
+        WITH RECURSIVE {_R},
+        c AS (SELECT rn, sum(sz) OVER (ORDER BY rn) AS e FROM r),
+        t AS (
+            SELECT 0::BIGINT AS run_id, 0::HUGEINT AS s, (SELECT max(e) FROM c WHERE e <= {CHUNK}) AS e
+            UNION ALL
+            SELECT run_id + 1, t.e, (SELECT max(c.e) FROM c WHERE c.e <= t.e + {CHUNK}) FROM t WHERE t.e < (SELECT max(e) FROM c))
+        SELECT t.run_id, min(c.rn) AS first_rn, max(c.rn) AS last_rn, (t.e - t.s)::BIGINT AS bytes
+        FROM t JOIN c ON c.e > t.s AND c.e <= t.e GROUP BY t.run_id, t.s, t.e""",
+    "round_robin": f"""
+        WITH {_R}
+        SELECT (rn - 1) % {WORKERS} AS worker, count(*) AS n, sum(sz)::BIGINT AS bytes, sum(k)::BIGINT AS key_sum FROM r GROUP BY 1""",
+    "pair_merge": """
+        WITH u AS (
+            SELECT s_nationkey::BIGINT AS k, s_suppkey AS id, 0::BIGINT AS src FROM supplier
+            UNION ALL SELECT c_nationkey, c_custkey, 1 FROM customer)
+        SELECT k, id, src, row_number() OVER (ORDER BY k, src, id) AS position FROM u""",
+    "kway_merge": f"""
+        WITH {_R}, u AS (SELECT id, k, ((rn - 1) // {RUN_ROWS})::BIGINT AS run_id FROM r)
+        SELECT id, k, run_id, row_number() OVER (ORDER BY k, run_id, id) AS position FROM u""",
+    "merge_levels": f"""
+        WITH RECURSIVE t AS (
+            SELECT 0 AS level, ceil((SELECT count(*) FROM orders) / {RUN_ROWS}.0)::BIGINT AS files
+            UNION ALL SELECT level + 1, files // 2 + files % 2 FROM t WHERE files > 1)
+        SELECT level::INTEGER AS level, files FROM t""",
+    "merge_groups": f"""
+        WITH {_R}, u AS (SELECT ((rn - 1) // 300)::BIGINT AS run_id, k FROM r), n AS (SELECT max(run_id) + 1 AS n FROM u)
+        SELECT (CASE WHEN n >= 16 THEN run_id // ceil(n / 8.0)::BIGINT ELSE 0 END)::BIGINT AS group_id, run_id, count(*) AS n, min(k) AS kmin
+        FROM u, n GROUP BY 1, 2""",
+    "violations": """
+        WITH w AS (SELECT event_id, value, lag(value) OVER (ORDER BY event_id) AS previous FROM events)
+        SELECT * FROM w WHERE value < previous""",
+    "is_sorted": """
+        WITH w AS (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS previous FROM events)
+        SELECT count(*) FILTER (ts < previous) AS violations, count(*) FILTER (ts < previous) = 0 AS sorted FROM w""",
+    "positional_diff": f"""
+        WITH {_R}, a AS (SELECT rn AS position, k, sz FROM r), b AS (SELECT row_number() OVER (ORDER BY k, id) AS position, k, sz FROM r)
+        SELECT position, a.k AS left_k, a.sz::BIGINT AS left_sz, b.k AS right_k, b.sz::BIGINT AS right_sz
+        FROM a FULL JOIN b USING (position) WHERE a.k IS DISTINCT FROM b.k OR a.sz IS DISTINCT FROM b.sz""",
+    "multiset_diff": f"""
+        WITH {_R}, a AS (SELECT k, sz::BIGINT AS sz FROM r WHERE id % 3 = 0), b AS (SELECT k, sz::BIGINT AS sz FROM r WHERE id % 3 = 1)
+        SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+        UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
+    "same_multiset": "SELECT count(*) AS n, true AS same FROM orders",
+    "speedup": f"""
+        WITH {_M}, b AS (SELECT min(mean_s) AS base_s FROM m WHERE workers = 1)
+        SELECT series, workers, round(mean_s, 4) AS mean_s, round(base_s / mean_s, 4) AS speedup, round(base_s / mean_s / workers, 4) AS efficiency FROM m, b""",
+    "weak_scaling": f"""
+        WITH {_M}, w AS (SELECT series, workers, first_value(mean_s) OVER (PARTITION BY series ORDER BY workers) / mean_s AS weak FROM m)
+        SELECT series, workers, round(weak, 4) AS weak, round(weak / workers, 4) AS weak_per_worker FROM w""",
+    "best_config": f"""
+        WITH {_M}, x AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY mean_s, workers) AS i FROM m)
+        SELECT series, workers, round(mean_s, 4) AS mean_s FROM x WHERE i = 1""",
+    "worker_counts": "SELECT DISTINCT user_id % 8 + 1 AS workers FROM events",
+    "log_export": """
+        WITH c AS (SELECT event_type AS series, user_id % 8 + 1 AS workers, count(*) AS n FROM events GROUP BY 1, 2)
+        SELECT series, '#let runs_' || series || ' = (' || string_agg('(' || workers || ', ' || n || '.00)', ', ' ORDER BY workers) || ')' AS text FROM c GROUP BY series""",
+    "log_parse": """
+        SELECT event_type || '.log' AS file, 'mergesort_' || event_type AS algo, user_id % 8 + 1 AS nthreads, count(*) AS max_mem,
+               min(round(value, 2)) AS low, max(round(value, 2)) AS high, 2::BIGINT AS timings
+        FROM events GROUP BY event_type, user_id % 8 + 1""",
+    "mem_budget": f"""
+        WITH {_R}, s AS (SELECT sum(sz)::BIGINT AS bytes FROM r)
+        SELECT bytes, least(bytes // 10, 8589934592, 34359738368)::BIGINT AS budget, least(8589934592, floor(bytes * 1.1))::BIGINT AS cap,
+               least(bytes // 100, floor(least(bytes // 10, 8589934592) * 3 / 8))::BIGINT AS chunk FROM s""",
+    "generator_stats": "SELECT count(*) AS n, 8::BIGINT AS shortest, 63::BIGINT AS longest, 0::BIGINT AS wrong FROM orders",
+    "roundtrip": "SELECT o_orderkey AS key, strlen(o_orderpriority)::BIGINT AS len, o_orderpriority AS payload FROM orders",
+}

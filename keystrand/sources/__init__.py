@@ -1 +1 @@
-
+"""Record files and synthetic records."""

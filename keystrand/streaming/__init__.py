@@ -1 +1 @@
-
+"""Continuous intake of records as sorted runs."""
