@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, written
+from .shared import SPACES, columns, fresh, written
 
 CAPACITY = 256 << 20
 #: The directory never looks at more bits, so it has at most 65,536 buckets; fuller ones chain.
@@ -90,9 +90,10 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", tex
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text one stays."""
-    found = written(dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256", "copies"))
-    sha = F.sha2(normalised(text_col), 256)
-    rows = docs.withColumn("_sha", sha).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256")))
+    sha, key = fresh(docs, "sha"), fresh(docs, "kept_id")
+    found = written(dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(f"{sha}_kept"), "copies"))
+    kept = found.select(key, f"{sha}_kept")
+    rows = docs.withColumn(sha, F.sha2(normalised(text_col), 256)).join(kept, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(sha) == F.col(f"{sha}_kept")))
     if found.where("copies > 1").limit(1).count():
-        rows = rows.dropDuplicates(["_id", "_sha"])
-    return rows.select(*docs.columns)
+        rows = rows.dropDuplicates([key, sha])
+    return rows.select(*columns(docs))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from ..shipping import ship
-from .shared import fold_of
+from .shared import columns, fold_of, fresh
 
 MOST = 4
 #: n-grams fall into 2 ** CELL_BITS cells by a hash.
@@ -147,7 +147,9 @@ def sampled(docs: DataFrame, folds: int, fold: int, sample: int, id_col: str, te
 
 
 def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """All columns of ``docs`` and held_out, lang_pred, score (0 to 1), in columns of these names with a leading underscore.
+    """All columns of ``docs``, and then held_out, lang_pred and score (0 to 1).
+
+    Where ``docs`` has a column of such a name, the new one gets an underscore in front.
 
     The model learns from texts and labels of rows outside the held-out fold of
     crc32(id as text) only. A text that is null, or has no letter, is ``und``
@@ -160,9 +162,10 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPL
     texts, labels = sampled(docs, folds, fold, sample, id_col, text_col, label_col)
     sent = spark.sparkContext.broadcast(fit(texts, labels) if labels else None)
     at = docs.columns.index(text_col)
-    rows = docs.withColumn("_held_out", fold_of(id_col, folds) == fold)
-    names = [*rows.columns, "_lang_pred", "_score"]
-    schema = StructType([*docs.schema.fields, StructField("_held_out", BooleanType()), StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+    held, guess, points = (fresh(docs, x) for x in ("held_out", "lang_pred", "score"))
+    rows = docs.withColumn(held, fold_of(id_col, folds) == fold)
+    names = [*rows.columns, guess, points]
+    schema = StructType([*docs.schema.fields, StructField(held, BooleanType()), StructField(guess, StringType()), StructField(points, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -183,3 +186,10 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPL
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
 
     return rows.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, languages: list[str] | None = None, **how) -> DataFrame:
+    """The rows of ``docs`` in a known language (or in one of ``languages``), with their columns only."""
+    found = identify(docs, **how)
+    guess = F.col(found.columns[len(docs.columns) + 1])
+    return found.where(guess.isin(languages) if languages else guess != UNKNOWN).select(*columns(docs))

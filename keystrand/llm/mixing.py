@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, WORD, word_count, written
+from .shared import SPACES, WORD, columns, fresh, word_count, written
 
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
@@ -86,12 +86,13 @@ def mixed(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: st
     """Carry out a plan of :func:`mix`: each row of ``docs`` as often as it is taken, the one at the cut with its first words.
 
     Rows that no epoch takes go, but rows without words stay once: they cost nothing.
-    All columns of ``docs`` are kept. Rows that repeat an id take the id's largest share.
+    All columns of ``docs`` are kept. Rows that repeat an id and source take the largest share among them.
     """
-    take = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max("cut").alias("_cut"))
-    rows = docs.join(take, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")))
-    whole = F.when(F.col("_epochs") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("_epochs").cast("int"))).otherwise(F.array().cast("array<long>"))
-    part = F.when(F.col("_cut") > 0, F.array("_cut")).otherwise(F.array().cast("array<long>"))
-    rows = rows.withColumn("_n", F.explode(F.concat(whole, part)))
-    text = F.when(F.col("_n") < 0, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_n")))
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    key, origin, times, cut, n = (fresh(docs, x) for x in ("plan_id", "plan_source", "plan_epochs", "plan_cut", "plan_words"))
+    take = plan.where("epochs > 0 OR cut > 0").groupBy(F.col("doc_id").alias(key), F.col("source").alias(origin)).agg(F.max("epochs").alias(times), F.max("cut").alias(cut))
+    rows = docs.join(take, F.col(id_col).eqNullSafe(F.col(key)) & F.col(source_col).cast("string").eqNullSafe(F.col(origin)))
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.col(times).cast("int"))
+    part = F.when(F.col(cut) > 0, F.array(cut)).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn(n, F.explode(F.concat(whole, part)))
+    text = F.when(F.col(n) < 0, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col(n)))
+    return rows.withColumn(text_col, text).select(*columns(docs))

@@ -48,7 +48,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
-    return found.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

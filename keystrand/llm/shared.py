@@ -69,6 +69,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with underscores in front until ``df`` has no such column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def utf8_bytes(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
 
