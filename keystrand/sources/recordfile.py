@@ -77,10 +77,10 @@ class Span(InputPartition):
 
 
 class RecordReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict) -> None:  # Spark hands option names over in lower case
         self.path = options["path"]
-        self.split = int(options.get("splitBytes", SPLIT_BYTES))
-        self.tail = options.get("truncatedTail", "raise")
+        self.split = int(options.get("splitbytes", SPLIT_BYTES))
+        self.tail = options.get("truncatedtail", "raise")
 
     def partitions(self) -> list[InputPartition]:
         system, path = _open(self.path)
@@ -134,7 +134,7 @@ class RecordWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite = options["path"], overwrite
-        self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.split = int(options.get("splitbytes", SPLIT_BYTES))
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
