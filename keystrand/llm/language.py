@@ -165,7 +165,9 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPL
     held, guess, points = (fresh(docs, x) for x in ("held_out", "lang_pred", "score"))
     rows = docs.withColumn(held, fold_of(id_col, folds) == fold)
     names = [*rows.columns, guess, points]
-    schema = StructType([*docs.schema.fields, StructField(held, BooleanType()), StructField(guess, StringType()), StructField(points, DoubleType())])
+    plain = [f"c{i}" for i in range(len(names))]  # column names may be such as cannot be referred to
+    kinds = [*(f.dataType for f in docs.schema.fields), BooleanType(), StringType(), DoubleType()]
+    schema = StructType([StructField(c, kind) for c, kind in zip(plain, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -183,9 +185,9 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPL
                     best = got.argmax(axis=1)
                     for i, k, x in zip(some, best.tolist(), got.max(axis=1).tolist(), strict=True):
                         lang[i], score[i] = model.languages[k], min(1.0, max(0.0, (1 + x) / 2))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=plain)
 
-    return rows.mapInArrow(run, schema)
+    return rows.toDF(*plain[:-2]).mapInArrow(run, schema).toDF(*names)
 
 
 def accepted(docs: DataFrame, languages: list[str] | None = None, **how) -> DataFrame:
