@@ -13,6 +13,7 @@ hot key loads its owner with one entry for each block only.
 from __future__ import annotations
 
 import ctypes
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -79,8 +80,11 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def owners(blocks: DataFrame, each: int = OWNER_BYTES) -> int:
     """A power of two of key ranges, so that each owner gets the keys of about ``each`` bytes of text."""
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    return 1 << max(0, int(-(-total // each) - 1).bit_length())
+    return power_of_two((blocks.agg(F.sum("size")).first()[0] or 0) / each)
+
+
+def power_of_two(least: float) -> int:
+    return 1 << max(0, math.ceil(least) - 1).bit_length()
 
 
 class Block(NamedTuple):

@@ -16,19 +16,21 @@ import base64
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..shipping import ship
 from . import blocks as B
 from .shared import release, written
 
-TOKENS = "block long, size long, ids array<long>, counts array<long>, codes binary, n long, rank binary, lens binary, words binary"
-BLOCK_BYTES = 12 << 20
+CODED = "block long, ids array<long>, counts array<long>, n long, digest long, codes binary, rank binary"
+BLOCK_BYTES = 6 << 20
 _ranks: dict[int, dict[bytes, int]] = {}
 _coders: dict[tuple[int, str], object] = {}
 
@@ -55,64 +57,73 @@ def _coder(blob: bytes, pattern: str):
     return _coders[key]
 
 
-def pre_tokenised(docs: DataFrame, pattern: str, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """Write blocks of documents as positions in a list of distinct words.
+class Words(NamedTuple):
+    """A block of documents as positions in its list of distinct words, which stand in the order of their hashes."""
 
-    ``codes`` are ranks by frequency in the block, so that they are small;
-    words stand in the order of their hashes, with their ranks.
-    """
+    block: int
+    ids: list
+    counts: list[int]
+    flat: np.ndarray
+    words: list[bytes]
+    keys: np.ndarray
+    order: np.ndarray
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-        import xxhash
-        from pyspark import TaskContext
-
-        find, seq = regex.compile(pattern).findall, TaskContext.get().partitionId() << 20
-
-        def fresh() -> tuple[defaultdict, list, list, list]:
-            codes: defaultdict = defaultdict()
-            codes.default_factory = codes.__len__
-            return codes, [], [], []
-
-        codes, ids, counts, parts = fresh()
-        size = 0
-
-        def row() -> pa.RecordBatch:
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            rank = np.empty(len(codes), np.uint32)
-            rank[np.argsort(-np.bincount(flat, minlength=len(codes)), kind="stable")] = np.arange(len(codes), dtype=np.uint32)
-            words = [w.encode() for w in codes]
-            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            order = np.argsort(keys, kind="stable")
-            words = [words[i] for i in order]
-            return pa.RecordBatch.from_pydict({
-                "block": pa.array([seq], pa.int64()), "size": pa.array([size], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())),
-                "codes": pa.array([B.squeeze(rank[flat])], pa.binary()), "n": pa.array([len(words)], pa.int64()), "rank": pa.array([B.squeeze(rank[order])], pa.binary()),
-                "lens": pa.array([B.squeeze(np.array([len(w) for w in words], np.uint32))], pa.binary()), "words": pa.array([zstandard.ZstdCompressor(3).compress(b"".join(words))], pa.binary()),
-            })
 
-        for batch in batches:
-            texts = batch.column(1)
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                found = find(texts[i].as_py() or "")
-                ids.append(key)
-                counts.append(len(found))
-                parts.append(np.fromiter(map(codes.__getitem__, found), np.uint32, len(found)))
-                size += sum(map(len, found))
-                if size >= block_bytes or len(ids) >= 1 << 16:
-                    yield row()
-                    codes, ids, counts, parts = fresh()
-                    seq, size = seq + 1, 0
-        if ids:
-            yield row()
-
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return written(rows.mapInArrow(make, TOKENS), block_mb=8)
-
-
-def _words(row: dict) -> list[bytes]:
-    lens = B.stretch(row["lens"], row["n"], np.uint32)
-    raw = zstandard.ZstdDecompressor().decompress(row["words"], max_output_size=max(1, int(lens.sum())))
+def pre_tokenised(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes: int) -> Iterator[Words]:
+    """Blocks of a task's (id, text) rows. Blocks depend on the rows and their order only, not on how they come in batches."""
+    import regex
+    import xxhash
+    from pyspark import TaskContext
+
+    find, seq = regex.compile(pattern).findall, TaskContext.get().partitionId() << 20
+
+    def fresh() -> tuple[defaultdict, list, list, list]:
+        codes: defaultdict = defaultdict()
+        codes.default_factory = codes.__len__
+        return codes, [], [], []
+
+    codes, ids, counts, parts = fresh()
+    size = 0
+
+    def block() -> Words:
+        flat = np.concatenate(parts)
+        words = [w.encode() for w in codes]
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(keys, kind="stable")
+        return Words(seq, ids, counts, flat, [words[i] for i in order], keys[order], order)
+
+    for batch in batches:
+        texts = batch.column(1)
+        for i, key in enumerate(batch.column(0).to_pylist()):
+            found = find(texts[i].as_py() or "")
+            ids.append(key)
+            counts.append(len(found))
+            parts.append(np.fromiter(map(codes.__getitem__, found), np.uint32, len(found)))
+            size += sum(map(len, found))
+            if size >= block_bytes or len(ids) >= 1 << 16:
+                yield block()
+                codes, ids, counts, parts = fresh()
+                seq, size = seq + 1, 0
+                B.trim()
+    if ids:
+        yield block()
+
+
+def _digest(keys: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(keys.tobytes()) >> 1
+
+
+def _packed(words: list[bytes]) -> bytes:
+    lens = B.squeeze(np.array([len(w) for w in words], np.uint32))
+    return struct.pack("<q", len(lens)) + lens + zstandard.ZstdCompressor(3).compress(b"".join(words))
+
+
+def _unpacked(blob: bytes, n: int) -> list[bytes]:
+    (size,) = struct.unpack_from("<q", blob)
+    lens = B.stretch(blob[8 : 8 + size], n, np.uint32)
+    raw = zstandard.ZstdDecompressor().decompress(blob[8 + size :], max_output_size=max(1, int(lens.sum())))
     at = np.concatenate(([0], np.cumsum(lens, dtype=np.int64))).tolist()
     return [raw[a:z] for a, z in zip(at, at[1:], strict=False)]
 
@@ -123,36 +134,32 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     A null text encodes as the empty one, to no ids. Rows that repeat, and null
     ids, are rows of their own. An empty table gives an empty result. Each match
     of ``pattern`` is encoded by itself, special tokens are not known. Other columns are not read.
+
+    Texts are split twice, for the words and again for the positions: writing
+    the positions down would cost more disk than a second pass costs time. Both
+    passes scan the same rows; a digest of the word list proves that they agree.
     """
     spark = docs.sparkSession
     ship(spark)
     blob = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file
-    table = pre_tokenised(docs, pattern, id_col, text_col, block_bytes)
-    parts = B.owners(table)
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = B.power_of_two(size / B.OWNER_BYTES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = _words(row)
-                keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-                bounds = B.part_bounds(keys, parts)
-                for p in np.flatnonzero(np.diff(bounds)):
-                    mine = words[bounds[p] : bounds[p + 1]]
-                    lens = B.squeeze(np.array([len(w) for w in mine], np.uint32))
-                    extra = struct.pack("<q", len(lens)) + lens + zstandard.ZstdCompressor(3).compress(b"".join(mine))
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "n": pa.array([len(mine)], pa.int32()), "extra": pa.array([extra], pa.binary())})
+        for x in pre_tokenised(batches, pattern, block_bytes):
+            bounds = B.part_bounds(x.keys, parts)
+            for p in np.flatnonzero(np.diff(bounds)):
+                mine = x.words[bounds[p] : bounds[p + 1]]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block": pa.array([x.block], pa.int64()), "n": pa.array([len(mine)], pa.int32()), "digest": pa.array([_digest(x.keys)], pa.int64()), "words": pa.array([_packed(mine)], pa.binary())})
 
     def answer(group: pa.Table) -> pa.Table:
         coder = _coder(blob.value, pattern)
         known: defaultdict = defaultdict()
         known.default_factory = known.__len__
         asked = []
-        for n, extra in zip(group.column("n").to_pylist(), group.column("extra").to_pylist(), strict=True):
-            (size,) = struct.unpack_from("<q", extra)
-            words = _words({"n": n, "lens": extra[8 : 8 + size], "words": extra[8 + size :]})
-            asked.append(np.fromiter(map(known.__getitem__, words), np.int64, n))
+        for n, words in zip(group.column("n").to_pylist(), group.column("words").to_pylist(), strict=True):
+            asked.append(np.fromiter(map(known.__getitem__, _unpacked(words, n)), np.int64, n))
         coded = [coder.encode_single_piece(w) for w in known]  # each distinct word once
         lens = np.array([len(x) for x in coded], np.uint32)
         heads = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
@@ -161,13 +168,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for code in asked:
             sizes = B.squeeze(lens[code])
             blobs.append(struct.pack("<qq", len(code), len(sizes)) + sizes + B.squeeze(flat[_spread(heads[code], lens[code].astype(np.int64))]))
-        return pa.table({"block": group.column("block"), "part": group.column("part"), "answer": pa.array(blobs, pa.binary())})
+        B.trim()
+        return pa.table({"block": group.column("block"), "part": group.column("part"), "digest": group.column("digest"), "answer": pa.array(blobs, pa.binary())})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Positions as ranks by frequency in the block, so that they are small."""
+        for x in pre_tokenised(batches, pattern, block_bytes):
+            rank = np.empty(len(x.words), np.uint32)
+            rank[np.argsort(-np.bincount(x.flat, minlength=len(x.words)), kind="stable")] = np.arange(len(x.words), dtype=np.uint32)
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([x.block], pa.int64()), "ids": pa.array([x.ids], pa.list_(pa.int64())), "counts": pa.array([x.counts], pa.list_(pa.int64())), "n": pa.array([len(x.words)], pa.int64()),
+                "digest": pa.array([_digest(x.keys)], pa.int64()), "codes": pa.array([B.squeeze(rank[x.flat])], pa.binary()), "rank": pa.array([B.squeeze(rank[x.order])], pa.binary()),
+            })
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         n = row["n"]
         lens, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for _, x in sorted(zip(right.column("part").to_pylist(), right.column("answer").to_pylist(), strict=True)):
+        for _, digest, x in sorted(zip(right.column("part").to_pylist(), right.column("digest").to_pylist(), right.column("answer").to_pylist(), strict=True)):
+            if digest != row["digest"]:
+                raise ValueError("the two passes over the texts saw different rows")
             size, z = struct.unpack_from("<qq", x)
             lens.append(B.stretch(x[16 : 16 + z], size, np.uint32))
             ids.append(B.stretch(x[16 + z :], int(lens[-1].sum()), np.uint32))
@@ -177,16 +197,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         counts = np.array(row["counts"], np.int64)
         code = where[B.stretch(row["codes"], int(counts.sum()), np.uint32)]
         heads = np.concatenate(([0], np.cumsum(lens)))[:-1]
-        flat = ids[_spread(heads[code], lens[code])] if n else ids
-        ends = np.concatenate(([0], np.cumsum(lens[code])))[np.concatenate(([0], np.cumsum(counts)))] if n else np.zeros(len(counts) + 1, np.int64)
+        flat = ids[_spread(heads[code], lens[code])]
+        ends = np.concatenate(([0], np.cumsum(lens[code])))[np.concatenate(([0], np.cumsum(counts)))]
         raw = flat.astype("<u4").tobytes()
-        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.array([raw[4 * a : 4 * z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())})
+        out = pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.array([raw[4 * a : 4 * z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())})
+        B.trim()
+        return out
 
-    wanted = table.select("block", "n", "lens", "words").mapInArrow(ask, "part int, block long, n int, extra binary")
-    found = written(wanted.groupBy("part").applyInArrow(answer, B.ANSWER_SCHEMA))
+    wanted = rows.mapInArrow(ask, "part int, block long, n int, digest long, words binary")
+    found = written(wanted.groupBy("part").applyInArrow(answer, "block long, part int, digest long, answer binary"), block_mb=8)
     release(spark)
-    blocks = table.select("block", "ids", "counts", "codes", "n", "rank")
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(place, CODED).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, "doc_id long, n_tokens long, ids binary")
 
 
 def _spread(heads: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -195,16 +216,15 @@ def _spread(heads: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(heads - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded", piece: int = 1 << 20) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded", piece: int = 1 << 17) -> DataFrame:
     """Add the bytes that packed ids stand for; null ids give null. An id that is not in the vocabulary is an error."""
     spark = encoded.sparkSession
     ship(spark)
     blob = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file
     names = encoded.columns
     at = names.index(ids_col)
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    schema = StructType([*encoded.schema.fields, StructField(out_col, BinaryType())])
+    plain = [f"c{i}" for i in range(len(names) + 1)]  # column names may be such as cannot be referred to
+    schema = StructType([StructField(c, kind) for c, kind in zip(plain, [*(f.dataType for f in encoded.schema.fields), BinaryType()], strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(blob.value)
@@ -222,6 +242,6 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
 
         for batch in batches:
             out = pa.array([text(x.as_py()) for x in batch.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=plain)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.toDF(*plain[:-1]).mapInArrow(run, schema).toDF(*names, out_col)
