@@ -10,10 +10,11 @@ are restaurant totals, a few numbers, which a sweep sums up for the next one.
 
 Gibbs sampling: given all other words' tables, the number of tables of a word in
 a restaurant has the law S(n, t) * x ** t (generalised Stirling numbers; x: the
-weight of a new table), from which it is drawn directly; words with over
-``STIRLING`` customers in a restaurant are reseated one after the other. Draws
-are seeded by sweep and owner, so a lost task repeats the same ones. Predictive
-probabilities are averaged over the sweeps after burn-in.
+weight of a new table), from which it is drawn directly; for words with over
+``STIRLING`` customers in a restaurant the law's mean and variance come from
+its saddle point. Draws are seeded by sweep and owner, so a lost task repeats
+the same ones. Predictive probabilities are averaged over the sweeps after
+burn-in.
 """
 
 from __future__ import annotations
@@ -162,14 +163,20 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, table: np.n
                 tables[at] = 1 + (rng.random(len(at))[:, None] * law[:, -1:] > law).sum(axis=1)
     large = np.flatnonzero(customers > STIRLING)
     if len(large):
-        n, x, most = customers[large], weight[large], int(customers[large].max())
-        t, i = np.ones(len(large)), 1
-        while i < most:  # customers come one by one at first, then in groups of a hundredth, within which the law hardly moves
-            group = max(1, i // 100)
-            come = np.clip(n - i, 0, group)
-            t += rng.binomial(come, np.clip(x / (x + i - discount * t), 0, 1))
-            i += group
-        tables[large] = np.minimum(t.astype(np.int64), n)
+        n, x = customers[large], weight[large]
+        low, high = np.full(len(large), -700.0), np.zeros(len(large))
+        for _ in range(60):  # the saddle point: x * u ** (d - 1) * (1 - u) = n
+            mid = (low + high) / 2
+            short = np.log(x) + (discount - 1) * mid + np.log1p(-np.exp(mid)) < np.log(n)
+            high, low = np.where(short, mid, high), np.where(short, low, mid)
+        u = np.exp(high)
+        mean = x * (1 - u**discount) / discount
+        spread = n + (1 - u) ** 2 * x * (1 - discount) * u ** (discount - 2)
+        share = np.clip(n.astype(float) ** 2 / spread / np.maximum(mean, 1e-12), 0, 0.999)
+        trials = np.maximum(1, np.round(mean / np.maximum(share, 1e-12)))
+        few = share < 0.01
+        drawn = np.where(few, rng.poisson(mean), rng.binomial(np.where(few, 1, trials).astype(np.int64), np.clip(np.where(few, 0, mean / trials), 0, 1)))
+        tables[large] = np.minimum(1 + drawn, n)
     return tables
 
 
