@@ -218,9 +218,17 @@ def replacement_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.replacement_runs(_file(spark, sf_dir), 8 << 10, "k", "sz", "rn")
 
 
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load-sort runs against replacement selection, both within 8 KB."""
+    rows = _file(spark, sf_dir).withColumn("file", F.lit("orders"))
+    plain = runs.budget_runs(rows, int((8 << 10) * runs.RUN_SHARE), "sz", "file", "rn").agg(F.countDistinct("run_id").alias("load_sort"))
+    heap = runs.replacement_runs(rows, 8 << 10, "k", "sz", "rn").agg(F.countDistinct("run_id").alias("replacement"))
+    return plain.join(F.broadcast(heap)).select("load_sort", "replacement", (F.col("replacement") < F.col("load_sort")).alias("fewer"))
+
+
 QUERIES = {f.__name__: f for f in (
     total_sort, top_k, tie_rank, unsigned_order, record_format, fixed_runs, greedy_chunks, budget_runs, round_robin, pair_merge, kway_merge, merge_levels, merge_groups,
-    violations, is_sorted, positional_diff, multiset_diff, same_multiset, speedup, weak_scaling, best_config, worker_counts, log_export, log_parse, mem_budget, generator_stats, roundtrip, replacement_runs,
+    violations, is_sorted, positional_diff, multiset_diff, same_multiset, speedup, weak_scaling, best_config, worker_counts, log_export, log_parse, mem_budget, generator_stats, roundtrip, replacement_runs, run_comparison,
 )}
 
 _R = "r AS (SELECT o_orderkey AS id, o_custkey AS k, 12 + strlen(o_orderpriority) AS sz, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)"

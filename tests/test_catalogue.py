@@ -9,7 +9,7 @@ def test_query_matches_sql(spark, small, same, name):
 
 
 def test_every_query_has_sql_but_the_heap():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == {"replacement_runs"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == {"replacement_runs", "run_comparison"}
 
 
 def test_entry_runs_without_the_other_subpackage(spark):
@@ -18,3 +18,7 @@ def test_entry_runs_without_the_other_subpackage(spark):
     assert e.entry(spark).count() == 1500
     assert set(catalogue.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_replacement_selection_makes_fewer_runs(spark, small):
+    assert catalogue.run_comparison(spark, small).first().fewer
