@@ -11,7 +11,9 @@ files from elsewhere; it seeks from header to header and reads no payload.
     df.select("key_ord", "payload").write.format("recordfile").mode("overwrite").save(path)
 
 Paths are of any file system that pyarrow knows; on a cluster, one that all
-machines share. ``truncatedTail``: ``raise`` (default) or ``drop``.
+machines share. Options of a read: ``truncatedTail`` (``raise``, the default, or
+``drop``), ``splitBytes``, and for a single file ``offset`` and ``maxBytes``: start
+at this record-aligned byte, and stop before the record that would exceed so many.
 """
 
 from __future__ import annotations
@@ -38,13 +40,15 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
-def walk(system: fs.FileSystem, path: str, split_bytes: int, tail: str) -> list[int]:
-    """Record-aligned offsets about ``split_bytes`` apart, from 0 to the end."""
-    size, at, cuts = system.get_file_info(path).size, 0, [0]
+def walk(system: fs.FileSystem, path: str, split_bytes: int, tail: str, offset: int = 0, most: int | None = None) -> list[int]:
+    """Record-aligned offsets about ``split_bytes`` apart, from ``offset`` to the end (or to ``most`` bytes from there)."""
+    size, at, cuts = system.get_file_info(path).size, offset, [offset]
     with system.open_input_file(path) as f:
         while at < size:
             head = f.read_at(HEADER.size, at)
             end = at + HEADER.size + (HEADER.unpack(head)[1] if len(head) == HEADER.size else size)
+            if most is not None and end - offset > most and end <= size:
+                break
             if end > size:
                 if tail == "drop":
                     break
@@ -81,6 +85,7 @@ class RecordReader(DataSourceReader):
         self.path = options["path"]
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.tail = options.get("truncatedtail", "raise")
+        self.offset, self.most = int(options.get("offset", 0)), int(options["maxbytes"]) if "maxbytes" in options else None
 
     def partitions(self) -> list[InputPartition]:
         system, path = _open(self.path)
@@ -91,7 +96,11 @@ class RecordReader(DataSourceReader):
         spans = []
         for file in files:
             index = f"{os.path.dirname(file)}/_{os.path.basename(file)}.index"
-            if system.get_file_info(index).is_file:
+            if self.offset or self.most is not None:
+                if len(files) > 1:
+                    raise ValueError("offset and maxBytes are for a single file")
+                cuts = walk(system, file, self.split, self.tail, self.offset, self.most)
+            elif system.get_file_info(index).is_file:
                 with system.open_input_file(index) as f:
                     marks = np.frombuffer(f.read(), "<u8").astype(int).tolist()
                 cuts = [0]
@@ -193,6 +202,25 @@ class RecordFile(DataSource):
         return RecordWriter(dict(self.options), overwrite)
 
 
+def size_of(path: str) -> int:
+    """Bytes of a record file, or of the part files in a folder; 0 if there is none."""
+    system, at = _open(path)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.Directory:
+        return sum(x.size for x in system.get_file_info(fs.FileSelector(at)) if x.is_file and x.base_name.startswith("part-"))
+    return info.size or 0
+
+
+def remove(path: str) -> None:
+    """Delete a record file or folder, if there is one."""
+    system, at = _open(path)
+    kind = system.get_file_info(at).type
+    if kind == fs.FileType.Directory:
+        system.delete_dir(at)
+    elif kind == fs.FileType.File:
+        system.delete_file(at)
+
+
 def register(spark) -> None:
     from ..shipping import ship
 
@@ -201,7 +229,7 @@ def register(spark) -> None:
 
 
 def export_single(path: str, target: str) -> int:
-    """Concatenate the part files, in order, to one record file; returns its size."""
+    """Concatenate the part files, in order, to one record file; returns its size. A single part is copied as it is."""
     system, folder = _open(path)
     out_system, out = _open(target)
     parts = sorted(x.path for x in system.get_file_info(fs.FileSelector(folder)) if x.is_file and x.base_name.startswith("part-"))

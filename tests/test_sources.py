@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrand.sources.generate import generate_records
-from keystrand.sources.recordfile import export_single, register, walk
+from keystrand.sources.recordfile import export_single, register, remove, size_of, walk
 from keystrand.streaming import intake
 
 
@@ -108,3 +108,16 @@ def test_stream_of_runs(spark, tmp_path):
     assert intake.read_runs(spark, out).select("run_id").distinct().count() == 2
     merged = sorted(intake.merged(spark, out, "key_ord", "id").collect(), key=lambda r: r.position)
     assert len(merged) == 200 and [r.key_ord for r in merged] == sorted(r.key_ord for r in merged)
+
+
+def test_byte_range(records, tmp_path):
+    data = [(i, bytes([i]) * 8) for i in range(10)]  # 20 bytes each
+    path = tmp_path / "in.dat"
+    path.write_bytes(pack(data))
+    assert [k for k, _, _ in content(records(path, offset=60))] == list(range(3, 10))
+    assert [k for k, _, _ in content(records(path, offset=60, maxBytes=59))] == [3, 4]
+    assert [k for k, _, _ in content(records(path, maxBytes=0))] == []
+    assert size_of(str(path)) == 200 and size_of(str(tmp_path / "none")) == 0
+    remove(str(path))
+    remove(str(path))
+    assert not path.exists()
