@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..shipping import ship
 from .shared import columns, fold_of, fresh
@@ -33,8 +33,9 @@ CELL_BITS = 22
 SAMPLE = 1600
 LANDMARKS = 240
 RIDGE = 0.1
-#: Texts above this length are sampled only if a language has no others.
+#: Texts above this length are sampled only if a language lacks shorter ones, and then ``MOST_LONG`` of them.
 USUAL_BYTES = 20_000
+MOST_LONG = 4
 UNKNOWN = "und"
 _GRAM = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -132,14 +133,17 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
 def sampled(docs: DataFrame, folds: int, fold: int, sample: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[str]]:
     """At most ``sample`` labelled texts of the training folds, evenly over languages, by the hash of their text and id."""
     usable = docs.where((fold_of(id_col, folds) != fold) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    count = usable.select(label_col).distinct().count()
-    if not count:
+    picked = usable.select(F.col(label_col).alias("label"), (F.octet_length(text_col) > USUAL_BYTES).alias("long"), F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 40)).alias("key"), F.col(id_col).alias("_id"))
+    sizes = picked.groupBy("label", "long").count().collect()  # two rows for each language
+    if not sizes:
         return [], []
-    long = F.octet_length(text_col) > USUAL_BYTES
+    each = max(2, sample // len({r["label"] for r in sizes}))
+    # a hash bound lets through a few times what is wanted of each language, so that no task ranks them all
+    bounds = [(r["label"], r["long"], MOST_LONG if r["long"] else each, int((1 << 40) * min(1.0, (4 * each + 100) / r["count"]))) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame(bounds, StructType([StructField("label", docs.schema[label_col].dataType), StructField("long", BooleanType()), StructField("most", LongType()), StructField("bound", LongType())]))
+    picked = picked.join(F.broadcast(bounds), ["label", "long"]).where(F.col("key") < F.col("bound"))
     first = Window.partitionBy("label").orderBy("long", "key", F.col("_id").asc_nulls_last())
-    # the limit is applied within tasks before the exchange, which carries no text
-    picked = usable.select(F.col(label_col).alias("label"), long.alias("long"), F.xxhash64(id_col, F.lit(3)).alias("key"), F.col(id_col).alias("_id"))
-    picked = picked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(2, sample // count))
+    picked = picked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= F.col("most"))
     rows = usable.join(F.broadcast(picked.select("_id", "label").distinct()), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(label_col) == F.col("label")))  # at most about ``sample`` ids
     got = sorted((r[0], r[1]) for r in rows.select("label", text_col).limit(2 * sample).collect())
     order = np.random.Generator(np.random.PCG64(5)).permutation(len(got))
