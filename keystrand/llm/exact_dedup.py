@@ -54,21 +54,23 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.groupBy("doc_id", "key", "sha").agg(F.max("bytes").alias("bytes"), F.count("*").alias("copies"))
 
 
-def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Insert all rows; returns the index: bucket, key, chain, sha, keep_id, group_size."""
-    spark = docs.sparkSession
-    cell = F.shiftrightunsigned("key", 64 - MOST_BITS).cast("int")
-    depth, local = directory(rows.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes")), capacity)
-    bucket_of = spark.createDataFrame([(b, (b >> (depth - d)), d) for b, d in local.items()], "slot int, prefix int, depth int")
+def routed(rows: DataFrame, depth: int, local: dict[int, int]) -> DataFrame:
+    """Add each row's bucket, (depth, prefix), by its key: a look-up in the directory, which has at most 2 ** MOST_BITS entries."""
+    table = rows.sparkSession.createDataFrame([(b, d, b >> (depth - d)) for b, d in local.items()], "slot int, depth int, prefix int")
     slot = F.shiftrightunsigned("key", 64 - depth).cast("int") if depth else F.lit(0)
+    return rows.withColumn("slot", slot).join(F.broadcast(table), "slot").drop("slot")
+
+
+def build_index(docs: DataFrame, depth: int, local: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Insert all rows; writes the index, a folder for each bucket, and returns it: depth, prefix, key, chain, sha, keep_id, group_size."""
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).withColumn("key", F.xxhash64("norm"))
     # equal texts meet by their bytes; the map side has joined them already, so a hot text arrives once from each task
     chains = texts.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = chains.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size").withColumn("slot", slot)
-    chain = Window.partitionBy("key").orderBy(F.col("keep_id").asc_nulls_last(), "sha")
-    # the directory has at most 2 ** MOST_BITS rows
-    entries = entries.join(F.broadcast(bucket_of), "slot").withColumn("chain", F.row_number().over(chain))
-    return written(entries.select(F.struct("depth", "prefix").alias("bucket"), "key", "chain", "sha", "keep_id", "group_size"))
+    entries = routed(chains.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), depth, local)
+    # an owner has whole buckets: it writes their files in key order, and chains the entries of one key
+    chain = Window.partitionBy("depth", "prefix", "key").orderBy(F.col("keep_id").asc_nulls_last(), "sha")
+    owned = entries.repartition("depth", "prefix").withColumn("chain", F.row_number().over(chain))
+    return written(owned.sortWithinPartitions("depth", "prefix", "key", "chain"), by=["depth", "prefix"])
 
 
 def dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,9 +84,11 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", tex
     empty table gives an empty result. Other columns are not read.
     """
     rows = written(digest(docs, id_col, text_col))
-    index = build_index(docs, rows, capacity, id_col, text_col)
+    cell = F.shiftrightunsigned("key", 64 - MOST_BITS).cast("int")
+    depth, local = directory(rows.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes")), capacity)
+    index = build_index(docs, depth, local, id_col, text_col)
     # an index entry is unique by (key, sha), so a skewed group of rows can be split over tasks
-    found = rows.join(index.select("key", "sha", "keep_id", "group_size"), ["key", "sha"])
+    found = routed(rows, depth, local).join(index.select("depth", "prefix", "key", "sha", "keep_id", "group_size"), ["depth", "prefix", "key", "sha"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "copies")
 
 

@@ -48,17 +48,20 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, folder: str | None = None, block_mb: int | None = None) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None, block_mb: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into a shared folder and read it again.
 
     A lost executor costs only the tasks it ran: all that later jobs read is in
-    the shared folder. ``block_mb`` makes row groups small, for wide rows.
+    the shared folder. ``block_mb`` makes row groups small, for wide rows; ``by``
+    makes a folder for each value of these columns.
     """
     spark = df.sparkSession
     folder = folder or shared_folder(spark)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if block_mb:
         writer = writer.option("parquet.block.size", block_mb << 20)
+    if by:
+        writer = writer.partitionBy(*by)
     writer.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
