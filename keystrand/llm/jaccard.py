@@ -174,10 +174,12 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
     least = posted.groupBy("key").agg(F.min("row").alias("b"))
     clusters = written(components(posted.join(least, "key").where("row != b").select(F.col("row").alias("a"), "b").distinct()))
 
-    member = sets.where("members is not null").select("row", "n", "members").join(clusters.withColumnRenamed("node", "row"), "row")
-    weigh = clusters.withColumnRenamed("node", "row").join(sets.select("row", "n"), "row").groupBy("root").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).cast("int").alias("sides"), F.sum("n").alias("total"))
-    buckets = max(1, -(-(weigh.agg(F.sum("total")).first()[0] or 0) * 8 // TILE_BYTES))
-    member = member.join(weigh.select("root", "sides"), "root").withColumn("side", F.when(F.col("sides") > 1, F.pmod(F.xxhash64("row"), F.col("sides"))).otherwise(0).cast("int"))
+    # where each set goes is settled on narrow rows; the members themselves move to their cluster only then
+    clusters = clusters.withColumnRenamed("node", "row").join(sets.select("row", "n"), "row")
+    weigh = clusters.groupBy("root").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).cast("int").alias("sides"))
+    buckets = max(1, -(-(clusters.agg(F.sum("n")).first()[0] or 0) * 8 // TILE_BYTES))
+    goal = written(clusters.join(weigh, "root").withColumn("side", F.when(F.col("sides") > 1, F.pmod(F.xxhash64("row"), F.col("sides"))).otherwise(0).cast("int")).select("row", "root", "side", "sides"))
+    member = sets.where("members is not null").select("row", "members").join(goal, "row")
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     tile = F.struct("root", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     task = F.when(F.col("sides") > 1, F.xxhash64("tile")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets)))
