@@ -128,9 +128,12 @@ def _unpacked(blob: bytes, n: int) -> list[bytes]:
     return [raw[a:z] for a, z in zip(at, at[1:], strict=False)]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
     """Encode whole texts; returns one row per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers).
 
+    With ``decoded`` the ids are decoded again where they stand (as :func:`decode`
+    would), into a further column of bytes.
+
     A null text encodes as the empty one, to no ids. Rows that repeat, and null
     ids, are rows of their own. An empty table gives an empty result. Each match
     of ``pattern`` is encoded by itself, special tokens are not known. Other columns are not read.
@@ -200,14 +203,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         flat = ids[_spread(heads[code], lens[code])]
         ends = np.concatenate(([0], np.cumsum(lens[code])))[np.concatenate(([0], np.cumsum(counts)))]
         raw = flat.astype("<u4").tobytes()
-        out = pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.array([raw[4 * a : 4 * z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())})
+        packed = [raw[4 * a : 4 * z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        out = {"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.array(packed, pa.binary())}
+        if decoded:
+            del code, flat, where
+            text = Decoder(ranks_of(blob.value))
+            out["decoded"] = pa.array(map(text, packed), pa.binary())
         B.trim()
-        return out
+        return pa.table(out)
 
     wanted = rows.mapInArrow(ask, "part int, block long, n int, digest long, words binary")
     found = written(wanted.groupBy("part").applyInArrow(answer, "block long, part int, digest long, answer binary"), block_mb=8)
     release(spark)
-    return rows.mapInArrow(place, CODED).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(place, CODED).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def _spread(heads: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -216,7 +224,25 @@ def _spread(heads: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(heads - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded", piece: int = 1 << 17) -> DataFrame:
+class Decoder:
+    """The table of token bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        self.lens = np.array([len(x) for x in tokens], np.int64)
+        self.heads, self.data = np.concatenate(([0], np.cumsum(self.lens)))[:-1], np.frombuffer(b"".join(tokens), np.uint8)
+
+    def __call__(self, packed: bytes | None, piece: int = 1 << 17) -> bytes | None:
+        """The bytes of packed ids, joined to the table a piece at a time."""
+        if packed is None:
+            return None
+        ids = np.frombuffer(packed, "<u4").astype(np.int64)
+        return b"".join(self.data[_spread(self.heads[i], self.lens[i])].tobytes() for i in np.split(ids, range(piece, len(ids), piece)))
+
+
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the bytes that packed ids stand for; null ids give null. An id that is not in the vocabulary is an error."""
     spark = encoded.sparkSession
     ship(spark)
@@ -227,19 +253,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     schema = StructType([StructField(c, kind) for c, kind in zip(plain, [*(f.dataType for f in encoded.schema.fields), BinaryType()], strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranks_of(blob.value)
-        tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            tokens[i] = token
-        lens = np.array([len(x) for x in tokens], np.int64)
-        heads, data = np.concatenate(([0], np.cumsum(lens)))[:-1], np.frombuffer(b"".join(tokens), np.uint8)
-
-        def text(packed: bytes | None) -> bytes | None:
-            if packed is None:
-                return None
-            ids = np.frombuffer(packed, "<u4").astype(np.int64)
-            return b"".join(data[_spread(heads[i], lens[i])].tobytes() for i in np.split(ids, range(piece, len(ids), piece)))
-
+        text = Decoder(ranks_of(blob.value))
         for batch in batches:
             out = pa.array([text(x.as_py()) for x in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=plain)

@@ -181,6 +181,8 @@ def test_bpe(spark, rows):
     want = [(i, coder.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows]
     assert sorted(repr((r.doc_id, list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)), bytes(r.decoded))) for r in found) == sorted(map(repr, want))
     assert all(r.n_tokens == len(r.ids) // 4 for r in found)
+    again = bpe.encode(odd(spark), path, public_tokenizers.PATTERN, decoded=True).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, found))
 
 
 def test_pitman_yor_counts(spark, rows):
