@@ -9,13 +9,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Spark fills an Arrow batch up to 64 MB, in memory outside the heap, for each task and direction.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Once for each application: add the package as a zip file, so that Python workers can import it.
 
-    Spark's file server hands the file to executors, new ones included.
+    Spark's file server hands the file to executors, new ones included. The
+    session's Arrow batches are bounded by 8 MB, unless it has a bound of its own.
     """
+    if spark.conf.get(BATCH, None) in (None, "67108864b", "64MB", "9223372036854775807b"):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
