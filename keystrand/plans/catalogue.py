@@ -178,7 +178,7 @@ def log_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs written from events and parsed again: one file for each event type, one section for each worker count."""
     rows = _timings(spark, sf_dir).groupBy("series", "workers").agg(F.count("*").alias("n"), F.min(F.round("seconds", 2)).alias("low"), F.max(F.round("seconds", 2)).alias("high"))
-    line = lambda c: F.format_string("# elapsed time (mergesort_%s): %ss\n", F.col("series"), F.col(c).cast("string"))
+    line = lambda c: F.format_string("# elapsed time (sort_%s): %ss\n", F.col("series"), F.col(c).cast("string"))
     section = F.concat(F.format_string("(nthreads=%s, max_mem=%s)\n", F.col("workers").cast("string"), F.col("n").cast("string")), line("low"), line("high"))
     logs = rows.select("series", F.struct("workers", section.alias("text")).alias("s")).groupBy("series").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "").alias("text"))
     found = benchlog.parse(logs.select(F.concat("series", F.lit(".log")).alias("file"), "text"))
@@ -313,7 +313,7 @@ ORACLE = {
         WITH c AS (SELECT event_type AS series, user_id % 8 + 1 AS workers, count(*) AS n FROM events GROUP BY 1, 2)
         SELECT series, '#let runs_' || series || ' = (' || string_agg('(' || workers || ', ' || n || '.00)', ', ' ORDER BY workers) || ')' AS text FROM c GROUP BY series""",
     "log_parse": """
-        SELECT event_type || '.log' AS file, 'mergesort_' || event_type AS algo, user_id % 8 + 1 AS nthreads, count(*) AS max_mem,
+        SELECT event_type || '.log' AS file, 'sort_' || event_type AS algo, user_id % 8 + 1 AS nthreads, count(*) AS max_mem,
                min(round(value, 2)) AS low, max(round(value, 2)) AS high, 2::BIGINT AS timings
         FROM events GROUP BY event_type, user_id % 8 + 1""",
     "mem_budget": f"""

@@ -162,29 +162,29 @@ def test_formatter(spark):
 
 LOG = """###
 (sequential binary merge, max_mem=10)
-# elapsed time (mergesort_seq): 4.0s
-# elapsed time (mergesort_seq): 6.0s
+# elapsed time (sort_seq): 4.0s
+# elapsed time (sort_seq): 6.0s
 (sequential kway merge, max_mem=10)
-# elapsed time (mergesort_seq): 4.0s
+# elapsed time (sort_seq): 4.0s
 ###
 (nthreads=2, max_mem=10)
-# elapsed time (mergesort_omp): 2.0s
-# elapsed time (mergesort_ff_no_mapping_blocking): 1e0s
+# elapsed time (sort_tasks): 2.0s
+# elapsed time (sort_farm_blocking): 1e0s
 """
 
 
 def test_log_analytics(spark, tmp_path):
     (tmp_path / "a.log").write_text(LOG)
-    (tmp_path / "a_mpi_weak.log").write_text("(nnodes=3, filesize=99, nthreads=4, max_mem=10)\n# elapsed time (mergesort_mpi): 8s\n")
+    (tmp_path / "a_mpi_weak.log").write_text("(nnodes=3, filesize=99, nthreads=4, max_mem=10)\n# elapsed time (sort_ranks): 8s\n")
     rows = benchlog.parse(benchlog.read_logs(spark, str(tmp_path)))
     got = {(r.variant, r.series, r.nthreads, r.nnodes, r.filesize, r.seconds) for r in rows.collect()}
     assert got == {
         ("base", "binary", None, None, None, 4.0), ("base", "binary", None, None, None, 6.0), ("base", "kway", None, None, None, 4.0),
-        ("base", "mergesort_omp", 2, None, None, 2.0), ("base", "mergesort_ff_no_mapping", 2, None, None, 1.0), ("weak", "mergesort_mpi", 4, 3, 99, 8.0),
+        ("base", "sort_tasks", 2, None, None, 2.0), ("base", "sort_farm", 2, None, None, 1.0), ("weak", "sort_ranks", 4, 3, 99, 8.0),
     }
     base = benchlog.baseline(rows)
     assert base.first().base_s == 4.0
     mean = benchlog.means(rows.where("nthreads = 2"), "series", F.col("nthreads").alias("workers"))
-    assert {(r.series, r.speedup, r.efficiency) for r in benchlog.speedup(mean, base).collect()} == {("mergesort_omp", 2.0, 1.0), ("mergesort_ff_no_mapping", 4.0, 2.0)}
+    assert {(r.series, r.speedup, r.efficiency) for r in benchlog.speedup(mean, base).collect()} == {("sort_tasks", 2.0, 1.0), ("sort_farm", 4.0, 2.0)}
     text = {r.text for r in benchlog.export(benchlog.speedup(mean, base), "speedup", "speedup").collect()}
-    assert "#let speedup_mergesort_omp = ((2, 2.00))" in text
+    assert "#let speedup_sort_tasks = ((2, 2.00))" in text
