@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .shared import release, written
+from .shared import written
 
 BLOCK_BYTES = 8 << 20
-CONTEXT_WORDS = 30
+CONTEXT_WORDS = 4000
 STIRLING = 64
 STRENGTH = 1.0
 END = np.uint64(0xA0761D6478BD642F)  # stands for the end of a text
@@ -113,7 +113,7 @@ def merged(part: int, keys: np.ndarray, extras: list[bytes], bounds: np.ndarray,
     word_keys, code = np.unique(keys, return_inverse=True)
     words, contexts, counts = [], [], []
     for extra, a, z in zip(extras, bounds[:-1], bounds[1:], strict=True):
-        of_word, context, count = _arrays(extra, np.uint8, np.uint8, np.uint32)
+        of_word, context, count = _arrays(extra, np.uint16, np.uint16, np.uint32)
         words.append(np.repeat(code[a:z], of_word))
         contexts.append(context)
         counts.append(count)
@@ -196,7 +196,7 @@ def sweeps(own: Owned, history: list[Totals], seed: int) -> Iterator[tuple[np.nd
         yield tables, served, at_parent
 
 
-def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 3, samples: int = 3, context_words: int = CONTEXT_WORDS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samples: int = 3, context_words: int = CONTEXT_WORDS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on all documents but those of the held-out fold of crc32(id as text), score every document.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
@@ -218,7 +218,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 3, samp
                 tokens = tokens_of(block, none)
                 train = np.repeat(~_held_out(block, folds, fold), np.diff(tokens.first)) & (tokens.keys != END)
                 keys, n = np.unique(tokens.keys[train], return_counts=True)
-                top = np.argsort(-n, kind="stable")[: 20 * context_words]
+                top = np.argsort(-n, kind="stable")[: 2 * context_words]
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys[top].view(np.int64)), "n": pa.array(n[top], pa.int64())})
 
     # which words get a restaurant of their own: by the heads of all blocks' lists; their counts are not used otherwise
@@ -232,7 +232,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 3, samp
         train = np.repeat(~_held_out(block, folds, fold), np.diff(tokens.first))
         count = np.bincount(pairs.of_token[train], minlength=len(pairs.context)).astype(np.uint32)
         at = np.concatenate(([0], np.cumsum(pairs.of_word)))
-        yield from B.requests(block.block, pairs.keys, parts, lambda a, z: _blobs(pairs.of_word[a:z].astype(np.uint8), pairs.context[at[a] : at[z]].astype(np.uint8), count[at[a] : at[z]]))
+        yield from B.requests(block.block, pairs.keys, parts, lambda a, z: _blobs(pairs.of_word[a:z].astype(np.uint16), pairs.context[at[a] : at[z]].astype(np.uint16), count[at[a] : at[z]]))
 
     def gather(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         n = group.column("n").to_pylist()
@@ -243,16 +243,15 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 3, samp
         group = group.sort_by("block")
         keys, bounds, extras = gather(group)
         own = merged(group.column("part")[0].as_py(), keys, extras, bounds, width)
-        model = _blobs(own.keys, own.word.astype(np.uint32), own.context.astype(np.uint8), own.count)
+        model = _blobs(own.keys, own.word.astype(np.uint32), own.context.astype(np.uint16), own.count)
         return pa.table({"part": pa.array([own.part], pa.int32()), "model": pa.array([model], pa.binary()), "words": pa.array([len(own.keys)], pa.int64())})
 
     def opened(part: int, model: bytes) -> Owned:
-        keys, word, context, count = _arrays(model, np.uint64, np.uint32, np.uint8, np.int64)
+        keys, word, context, count = _arrays(model, np.uint64, np.uint32, np.uint16, np.int64)
         return Owned(part, keys, word.astype(np.int64), context.astype(np.int64), count)
 
     wanted = written(B.asked(table, ask), block_mb=16)
     models = written(wanted.groupBy("part").applyInArrow(collect, "part int, model binary, words long"), block_mb=16)
-    release(spark)
 
     def summed(history: list[Totals], first: bool) -> dict[str, int]:
         """Totals over all owners after the last sweep of the history; the driver gets one number of each kind."""
@@ -299,7 +298,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 3, samp
         known = own.keys[place] == keys if len(own.keys) else np.zeros(len(keys), bool)
         total = np.bincount(own.word, weights=own.count, minlength=len(own.keys)).astype(np.uint32)
         # every pair that is asked for: its word, context, and its place among the pairs with counts
-        parts_of = [_arrays(x, np.uint8, np.uint8, np.uint32)[:2] for x in extras]
+        parts_of = [_arrays(x, np.uint16, np.uint16, np.uint32)[:2] for x in extras]
         word_at = np.repeat(np.arange(len(keys)), np.concatenate([x for x, _ in parts_of]))
         context = np.concatenate([c for _, c in parts_of]).astype(np.int64)
         ask_id = place[word_at] * width + context
@@ -339,5 +338,4 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 3, samp
         })
 
     answers = written(wanted.groupBy("part").applyInArrow(answer, B.ANSWER_SCHEMA), block_mb=16)
-    release(spark)
     return B.with_answers(table, answers, finish, RESULT)
