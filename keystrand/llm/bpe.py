@@ -13,6 +13,7 @@ that of a tokenizer, whatever the input.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,7 +28,6 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..shipping import ship
 from . import blocks as B
-from .shared import release, written
 
 CODED = "block long, ids array<long>, counts array<long>, n long, digest long, codes binary, rank binary"
 BLOCK_BYTES = 6 << 20
@@ -57,6 +57,25 @@ def _coder(blob: bytes, pattern: str):
     return _coders[key]
 
 
+def ascii_form(pattern: str) -> str:
+    """The pattern for texts of ASCII characters only, in the syntax of the faster standard module: \\p{L} and \\p{N} become ranges."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and pattern[i : i + 5] in (r"\p{L}", r"\p{N}"):
+            letters = "A-Za-z" if pattern[i + 3] == "L" else "0-9"
+            out.append(letters if inside else f"[{letters}]")
+            i += 5
+        elif c == "\\":
+            out.append(pattern[i : i + 2])
+            i += 2
+        else:
+            inside = c == "[" or inside and c != "]"
+            out.append(c)
+            i += 1
+    return "".join(out)
+
+
 class Words(NamedTuple):
     """A block of documents as positions in its list of distinct words, which stand in the order of their hashes."""
 
@@ -76,6 +95,7 @@ def pre_tokenised(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes:
     from pyspark import TaskContext
 
     find, seq = regex.compile(pattern).findall, TaskContext.get().partitionId() << 20
+    find_ascii = re.compile(ascii_form(pattern), re.ASCII).findall
 
     def fresh() -> tuple[defaultdict, list, list, list]:
         codes: defaultdict = defaultdict()
@@ -95,11 +115,12 @@ def pre_tokenised(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes:
     for batch in batches:
         texts = batch.column(1)
         for i, key in enumerate(batch.column(0).to_pylist()):
-            found = find(texts[i].as_py() or "")
+            text = texts[i].as_py() or ""
+            found = (find_ascii if text.isascii() else find)(text)
             ids.append(key)
             counts.append(len(found))
             parts.append(np.fromiter(map(codes.__getitem__, found), np.uint32, len(found)))
-            size += sum(map(len, found))
+            size += len(text)
             if size >= block_bytes or len(ids) >= 1 << 16:
                 yield block()
                 codes, ids, counts, parts = fresh()
@@ -213,8 +234,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         return pa.table(out)
 
     wanted = rows.mapInArrow(ask, "part int, block long, n int, digest long, words binary")
-    found = written(wanted.groupBy("part").applyInArrow(answer, "block long, part int, digest long, answer binary"), block_mb=8)
-    release(spark)
+    found = wanted.groupBy("part").applyInArrow(answer, "block long, part int, digest long, answer binary")
     return rows.mapInArrow(place, CODED).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
