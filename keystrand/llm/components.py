@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, remove_folder, shared_folder, written
+from .shared import remove_folder, shared_folder, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -37,6 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state, folder = tuple(row), new_folder
         edges = _stars(new)
-    release(spark)
     roots = new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return new.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

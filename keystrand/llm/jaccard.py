@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
-from .shared import columns, fresh, release, written
+from .shared import columns, fresh, written
 
 SETS = "row long, doc_id long, n long, sig1 long, sig2 long, postings array<long>, members binary"
 #: Bytes of members in a tile's side, about; a larger cluster is cut into so many sides.
@@ -159,9 +159,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
         })
 
     answers = written(B.answered(B.asked(table, ask), total))
-    release(spark)
     sets = written(B.with_answers(table, answers, finish, SETS), block_mb=16)
-    release(spark)
 
     # rows of equal sets share the smallest row as their class; a set without members is a class of its own
     rep = sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("row").alias("class"))
@@ -196,7 +194,6 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     links = written(member.groupBy("task").applyInArrow(link, "a long, b long"))
-    release(spark)
     roots = components(links)
     placed = rows.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("component", F.coalesce("root", "class"))
     return placed.select("row", "doc_id", "n", "class", "component")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -14,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = "[\\x20\\x09-\\x0D]+"
 
+#: With this setting Spark deletes a query's shuffle files when the query ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _folders: list[tuple[SparkSession, str]] = []
 
 
@@ -39,11 +41,19 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that were written for this session; results that read them must be saved before."""
+    for owner, folder in list(_folders):
+        if owner is spark:
+            remove_folder(spark, folder)
+            _folders.remove((owner, folder))
+
+
 @atexit.register
-def _clean() -> None:
-    for spark, folder in _folders:
+def _clear_all() -> None:
+    for spark in {id(x): x for x, _ in _folders}.values():
         try:
-            remove_folder(spark, folder)
+            clear(spark)
         except Exception:  # the session may have ended before; the folder's owner clears it then
             return
 
@@ -52,7 +62,7 @@ def written(df: DataFrame, folder: str | None = None, block_mb: int | None = Non
     """Cut the lineage: write ``df`` as Parquet into a shared folder and read it again.
 
     A lost executor costs only the tasks it ran: all that later jobs read is in
-    the shared folder. ``block_mb`` makes row groups small, for wide rows; ``by``
+    the shared folder. The shuffle files of the plan go at once. ``block_mb`` makes row groups small, for wide rows; ``by``
     makes a folder for each value of these columns.
     """
     spark = df.sparkSession
@@ -62,16 +72,15 @@ def written(df: DataFrame, folder: str | None = None, block_mb: int | None = Non
         writer = writer.option("parquet.block.size", block_mb << 20)
     if by:
         writer = writer.partitionBy(*by)
-    writer.parquet(folder)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` with underscores in front until ``df`` has no such column (in any case of letters)."""
     taken = {c.lower() for c in df.columns}
