@@ -128,6 +128,8 @@ def pre_tokenised(batches: Iterator[pa.RecordBatch], pattern: str, block_bytes:
                 B.trim()
     if ids:
         yield block()
+    del codes, parts
+    B.trim()
 
 
 def _digest(keys: np.ndarray) -> int:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..shipping import ship
+from .blocks import trim
 from .shared import columns, fold_of, fresh
 
 MOST = 4
@@ -190,6 +191,7 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPL
                     for i, k, x in zip(some, best.tolist(), got.max(axis=1).tolist(), strict=True):
                         lang[i], score[i] = model.languages[k], min(1.0, max(0.0, (1 + x) / 2))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=plain)
+        trim()
 
     return rows.toDF(*plain[:-2]).mapInArrow(run, schema).toDF(*names)
 

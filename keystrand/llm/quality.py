@@ -193,6 +193,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0,
         for part, block in _blocks(batches):
             got = scores(features(block)) if scores else np.full(part.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got)], names=["doc_id", "score"])
+        B.trim()
 
     found = texts.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return found.select("doc_id", (fold_of("doc_id", folds) == fold).alias("held_out"), "score", (F.col("score") >= PASS_SCORE).cast("int").alias("predicted"))
