@@ -2,11 +2,13 @@
 
 Each context has a restaurant of its own; all share one parent, whose base is
 uniform over the training vocabulary and one place for unknown words. A
-context is the word before (the most frequent words have a restaurant each, all
-others share one; a text's start has one). Counts cover the whole training
-corpus. They are held by owners of word-hash ranges, so that all seats of a
-word, in every context and in the parent, are in one task; what the tasks share
-are restaurant totals, a few numbers, which a sweep sums up for the next one.
+context is the word before, whichever it is, or a text's start. Counts cover the
+whole training corpus. They are held by owners of word-hash ranges, so that all
+seats of a word, in every context and in the parent, are in one task. What the
+tasks share are restaurant totals: after each sweep, the owners of words send
+the tables of their contexts to the owners of context-hash ranges, packed, and
+get the sums of all owners back for the next sweep. The driver gets only sums
+over all contexts.
 
 Gibbs sampling: given all other words' tables, the number of tables of a word in
 a restaurant has the law S(n, t) * x ** t (generalised Stirling numbers; x: the
@@ -19,6 +21,7 @@ burn-in.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,34 +37,29 @@ from . import blocks as B
 from .shared import written
 
 BLOCK_BYTES = 8 << 20
-CONTEXT_WORDS = 4000
 STIRLING = 64
 STRENGTH = 1.0
-END = np.uint64(0xA0761D6478BD642F)  # stands for the end of a text
+END = np.uint64(0xA0761D6478BD642F)  # stands for the end of a text, and as a context for the start of the next
+#: Rows of an owner: to an owner of contexts (part), or what stays with it (MODEL), with sums for the driver.
+ROWS = f"{B.REQUEST_SCHEMA}, sums array<long>"
+MODEL = -1
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 class Tokens(NamedTuple):
-    """Tokens of a block (each text's words, then its end): hash, context, and each document's first token (with an end)."""
+    """Tokens of a block (each text's words, then its end): hash, and each document's first token (with an end)."""
 
     keys: np.ndarray
-    contexts: np.ndarray
     first: np.ndarray
 
 
-def tokens_of(block: B.Block, context_words: np.ndarray) -> Tokens:
+def tokens_of(block: B.Block) -> Tokens:
     words = B.words_of(block, lower=True)
     n = len(block.ids)
     keys = np.full(len(words.hashes) + n, END, np.uint64)
     at = np.arange(len(words.hashes)) + words.doc()
     keys[at] = words.hashes
-    first = words.first + np.arange(n + 1)
-    contexts = np.ones(len(keys), np.int64)
-    if len(context_words):
-        place = np.minimum(np.searchsorted(context_words, keys[:-1]), len(context_words) - 1)
-        contexts[1:] = np.where(context_words[place] == keys[:-1], place + 2, 1)
-    contexts[first[:-1]] = 0
-    return Tokens(keys, contexts, first)
+    return Tokens(keys, words.first + np.arange(n + 1))
 
 
 def _held_out(block: B.Block, folds: int, fold: int) -> np.ndarray:
@@ -68,7 +67,7 @@ def _held_out(block: B.Block, folds: int, fold: int) -> np.ndarray:
 
 
 class Pairs(NamedTuple):
-    """A block's distinct words, and its distinct (word, context) pairs, by word."""
+    """A block's distinct words, and its distinct (word, context) pairs, by word; a context is the place of its word."""
 
     keys: np.ndarray
     of_word: np.ndarray
@@ -77,10 +76,37 @@ class Pairs(NamedTuple):
     word_of_pair: np.ndarray
 
 
-def _pairs(tokens: Tokens, width: int) -> Pairs:
+def _pairs(tokens: Tokens) -> Pairs:
     keys, code = np.unique(tokens.keys, return_inverse=True)
-    pair, of_token = np.unique(code * width + tokens.contexts, return_inverse=True)
-    return Pairs(keys, np.bincount(pair // width, minlength=len(keys)), pair % width, of_token, pair // width)
+    width = len(keys)
+    before = np.concatenate(([np.searchsorted(keys, END)], code[:-1]))  # a text's first word follows an end
+    pair, of_token = np.unique(code * width + before, return_inverse=True)
+    return Pairs(keys, np.bincount(pair // width, minlength=width), pair % width, of_token, pair // width)
+
+
+def _packed(pairs: Pairs, count: np.ndarray, at: np.ndarray, a: int, z: int) -> bytes:
+    """What goes with the words keys[a:z]: pairs of each word, the hashes of their contexts, each pair's place there and count."""
+    mine = slice(at[a], at[z])
+    used, place = np.unique(pairs.context[mine], return_inverse=True)
+    hashes = np.diff(pairs.keys[used], prepend=np.uint64(0))
+    return _blobs(pairs.of_word[a:z].astype(np.uint32), hashes, place.astype(np.uint32), count[mine])
+
+
+class Asked(NamedTuple):
+    """All pairs that an owner is asked about, request by request: pairs of each word, context, count; and the contexts' hashes, sorted."""
+
+    of_word: list[np.ndarray]
+    context: list[np.ndarray]
+    count: list[np.ndarray]
+    contexts: np.ndarray
+
+
+def unpacked(extras: list[bytes]) -> Asked:
+    sent = [_arrays(x, np.uint32, np.uint64, np.uint32, np.uint32) for x in extras]
+    hashes = [np.cumsum(x[1], dtype=np.uint64) for x in sent]
+    contexts = np.unique(np.concatenate(hashes))
+    context = [np.searchsorted(contexts, h)[x[2]] for h, x in zip(hashes, sent, strict=True)]
+    return Asked([x[0] for x in sent], context, [x[3] for x in sent], contexts)
 
 
 def _blobs(*arrays: np.ndarray) -> bytes:
@@ -100,33 +126,37 @@ def _arrays(blob: bytes, *kinds) -> list[np.ndarray]:
 # ---------------------------------------------------------------- the model
 
 class Owned(NamedTuple):
-    """An owner's words with training counts: keys, and by (word, context) the customers, sorted."""
+    """An owner's words with training counts: keys, and by (word, context) the customers, sorted; and its contexts' hashes."""
 
     part: int
     keys: np.ndarray
     word: np.ndarray
     context: np.ndarray
     count: np.ndarray
+    contexts: np.ndarray = np.zeros(0, np.uint64)
 
 
-def merged(part: int, keys: np.ndarray, extras: list[bytes], bounds: np.ndarray, width: int) -> Owned:
+def merged(part: int, keys: np.ndarray, asked: Asked, bounds: np.ndarray) -> Owned:
     word_keys, code = np.unique(keys, return_inverse=True)
-    words, contexts, counts = [], [], []
-    for extra, a, z in zip(extras, bounds[:-1], bounds[1:], strict=True):
-        of_word, context, count = _arrays(extra, np.uint16, np.uint16, np.uint32)
-        words.append(np.repeat(code[a:z], of_word))
-        contexts.append(context)
-        counts.append(count)
-    pair = np.concatenate(words) * width + np.concatenate(contexts)
+    width = len(asked.contexts)
+    pair = np.concatenate([np.repeat(code[a:z], n) * width + c for n, c, a, z in zip(asked.of_word, asked.context, bounds[:-1], bounds[1:], strict=True)])
     pairs, place = np.unique(pair, return_inverse=True)
-    count = np.bincount(place, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
+    count = np.bincount(place, weights=np.concatenate(asked.count), minlength=len(pairs)).astype(np.int64)
     pairs, count = pairs[count > 0], count[count > 0]
     known, word = np.unique(pairs // width, return_inverse=True)
-    return Owned(part, word_keys[known], word, pairs % width, count)
+    return Owned(part, word_keys[known], word, pairs % width, count, asked.contexts)
+
+
+def summed(g: B.Gathered) -> list[bytes]:
+    """An owner of contexts adds up what the owners of words sent, context by context."""
+    sent = np.concatenate([B.stretch(x, n, np.int64) for x, n in zip(g.extras, np.diff(g.bounds), strict=True)])
+    keys, code = np.unique(g.keys, return_inverse=True)
+    sums = np.bincount(code, weights=sent, minlength=len(keys)).astype(np.int64)[code]
+    return [B.squeeze(sums[a:z]) for a, z in zip(g.bounds[:-1], g.bounds[1:], strict=True)]
 
 
 class Totals(NamedTuple):
-    """What restaurants share: discounts, customers and tables by context, and of the parent."""
+    """What restaurants share: discounts, customers and tables of an owner's contexts, and of the parent."""
 
     discount: float
     parent_discount: float
@@ -196,7 +226,7 @@ def sweeps(own: Owned, history: list[Totals], seed: int) -> Iterator[tuple[np.nd
         yield tables, served, at_parent
 
 
-def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samples: int = 3, context_words: int = CONTEXT_WORDS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on all documents but those of the held-out fold of crc32(id as text), score every document.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
@@ -206,101 +236,114 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
     both scores are 0. An empty table gives an empty result. Words are told
     apart by 64-bit hashes. Other columns are not read.
     """
-    spark = docs.sparkSession
     table = B.block_table(docs, id_col, text_col, BLOCK_BYTES)
     parts = B.owners(table)
-    none = np.zeros(0, np.uint64)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block = B.opened(batch.slice(i, 1).to_pylist()[0])
-                tokens = tokens_of(block, none)
-                train = np.repeat(~_held_out(block, folds, fold), np.diff(tokens.first)) & (tokens.keys != END)
-                keys, n = np.unique(tokens.keys[train], return_counts=True)
-                top = np.argsort(-n, kind="stable")[: 2 * context_words]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[top].view(np.int64)), "n": pa.array(n[top], pa.int64())})
-
-    # which words get a restaurant of their own: by the heads of all blocks' lists; their counts are not used otherwise
-    heads = table.mapInArrow(frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "key").limit(context_words).collect()
-    contexts = np.sort(np.array([r["key"] for r in heads], np.int64).view(np.uint64))
-    width = context_words + 2
 
     def ask(block: B.Block) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(block, contexts)
-        pairs = _pairs(tokens, width)
+        tokens = tokens_of(block)
+        pairs = _pairs(tokens)
         train = np.repeat(~_held_out(block, folds, fold), np.diff(tokens.first))
         count = np.bincount(pairs.of_token[train], minlength=len(pairs.context)).astype(np.uint32)
         at = np.concatenate(([0], np.cumsum(pairs.of_word)))
-        yield from B.requests(block.block, pairs.keys, parts, lambda a, z: _blobs(pairs.of_word[a:z].astype(np.uint16), pairs.context[at[a] : at[z]].astype(np.uint16), count[at[a] : at[z]]))
+        yield from B.requests(block.block, pairs.keys, parts, functools.partial(_packed, pairs, count, at))
 
-    def gather(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    def gather(group: pa.Table) -> tuple[np.ndarray, np.ndarray, Asked]:
         n = group.column("n").to_pylist()
         keys = np.concatenate([B.stretch_keys(x.as_py(), k) for x, k in zip(group.column("keys"), n, strict=True)])
-        return keys, np.concatenate(([0], np.cumsum(n))), group.column("extra").to_pylist()
+        return keys, np.concatenate(([0], np.cumsum(n))), unpacked(group.column("extra").to_pylist())
+
+    def rows_of(own: Owned, kind: int, by_context: np.ndarray) -> list[pa.RecordBatch]:
+        """An owner's numbers for the owners of its contexts; those of kind 1 go to owners of their own."""
+        sent = by_context.astype(np.int64)
+        found = [pa.Table.from_batches([x]) for x in B.requests(own.part, own.contexts, parts, lambda a, z: B.squeeze(sent[a:z]))]
+        return [x.set_column(0, "part", pa.array(np.array(x.column("part"), np.int32) + np.int32(kind * parts), pa.int32())).append_column("sums", pa.nulls(x.num_rows, pa.list_(pa.int64()))) for x in found]
+
+    def kept(own: Owned, extra: bytes, sums: list) -> pa.Table:
+        return pa.table({"part": pa.array([MODEL], pa.int32()), "block": pa.array([own.part], pa.int64()), "n": pa.array([len(own.keys)], pa.int32()), "keys": pa.array([b""], pa.binary()), "extra": pa.array([extra], pa.binary()), "sums": pa.array([[int(x) for x in sums]], pa.list_(pa.int64()))})
+
+    def seats(own: Owned, tables: np.ndarray, served: np.ndarray, at_parent: np.ndarray) -> tuple[list, list]:
+        """What an owner tells after a sweep: sums for the driver, and tables for the owners of contexts."""
+        sums = [served.sum(), at_parent.sum(), (served == 1).sum(), (served == 2).sum()]
+        return sums, rows_of(own, 0, np.bincount(own.context, weights=tables, minlength=len(own.contexts)))
 
     def collect(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
-        keys, bounds, extras = gather(group)
-        own = merged(group.column("part")[0].as_py(), keys, extras, bounds, width)
-        model = _blobs(own.keys, own.word.astype(np.uint32), own.context.astype(np.uint16), own.count)
-        return pa.table({"part": pa.array([own.part], pa.int32()), "model": pa.array([model], pa.binary()), "words": pa.array([len(own.keys)], pa.int64())})
+        keys, bounds, asked = gather(group)
+        own = merged(group.column("part")[0].as_py(), keys, asked, bounds)
+        model = _blobs(own.keys, own.word.astype(np.uint32), own.context.astype(np.uint32), own.count, np.diff(own.contexts, prepend=np.uint64(0)))
+        sums, rows = seats(own, np.minimum(own.count, 1), np.bincount(own.word, minlength=len(own.keys)), np.ones(len(own.keys), np.int64))
+        sums += [len(own.keys), (own.count == 1).sum(), (own.count == 2).sum(), own.count.sum()]
+        rows += rows_of(own, 1, np.bincount(own.context, weights=own.count, minlength=len(own.contexts)))
+        B.trim()
+        return pa.concat_tables([kept(own, model, sums), *rows])
 
     def opened(part: int, model: bytes) -> Owned:
-        keys, word, context, count = _arrays(model, np.uint64, np.uint32, np.uint16, np.int64)
-        return Owned(part, keys, word.astype(np.int64), context.astype(np.int64), count)
+        keys, word, context, count, contexts = _arrays(model, np.uint64, np.uint32, np.uint32, np.int64, np.uint64)
+        return Owned(part, keys, word.astype(np.int64), context.astype(np.int64), count, np.cumsum(contexts, dtype=np.uint64))
 
-    wanted = written(B.asked(table, ask), block_mb=16)
-    models = written(wanted.groupBy("part").applyInArrow(collect, "part int, model binary, words long"), block_mb=16)
-
-    def summed(history: list[Totals], first: bool) -> dict[str, int]:
-        """Totals over all owners after the last sweep of the history; the driver gets one number of each kind."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, model in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = opened(part, model)
-                    tables, served, at_parent = np.minimum(own.count, 1), np.bincount(own.word, minlength=len(own.keys)), np.ones(len(own.keys), np.int64)
-                    for tables, served, at_parent in sweeps(own, history, seed):
-                        pass
-                    found = {f"t{k}": x for k, x in enumerate(np.bincount(own.context, weights=tables, minlength=width))}
-                    found |= {"c": served.sum(), "t": at_parent.sum(), "p1": (served == 1).sum(), "p2": (served == 2).sum()}
-                    if first:
-                        found |= {f"n{k}": x for k, x in enumerate(np.bincount(own.context, weights=own.count, minlength=width))}
-                        found |= {"v": len(own.keys), "s1": (own.count == 1).sum(), "s2": (own.count == 2).sum()}
-                    yield pa.RecordBatch.from_pydict({"name": pa.array(list(found)), "n": pa.array([int(x) for x in found.values()], pa.int64())})
-
-        rows = models.select("part", "model").mapInArrow(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).collect()
-        return {r["name"]: r["n"] for r in rows}
+    def exchanged(rows: DataFrame, sweep: int) -> DataFrame:
+        """The sums of all owners for each owner: (owner, sweep, kind, blob)."""
+        found = B.answered(rows.where(F.col("part") != MODEL).drop("sums"), summed)
+        return written(found.select(F.col("block").cast("int").alias("owner"), F.lit(sweep).alias("sweep"), F.col("part").alias("kind"), F.col("answer").alias("blob")), block_mb=16)
 
     def discount(one: int, two: int) -> float:
         return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
 
-    found = summed([], True)
-    customers = np.array([found.get(f"n{k}", 0) for k in range(width)], np.float64)
-    lower, words = discount(found.get("s1", 0), found.get("s2", 0)), found.get("v", 0)
-    history: list[Totals] = []
+    def added(rows: DataFrame, names: str) -> dict[str, int]:
+        """Sums over all owners; the driver gets one number of each kind."""
+        row = rows.where(F.col("part") == MODEL).agg(*[F.sum(F.col("sums")[i]) for i in range(len(names.split()))]).first()
+        return dict(zip(names.split(), (x or 0 for x in row), strict=True))
+
+    def history_of(own: Owned, right: pa.Table, scalars: list[tuple]) -> list[Totals]:
+        """The totals after each sweep, at an owner's contexts."""
+        sent = zip(right.column("sweep").to_pylist(), right.column("kind").to_pylist(), right.column("blob").to_pylist(), strict=True)
+        blobs = {(k, *divmod(kind, parts)): blob for k, kind, blob in sent if kind != MODEL}
+
+        def at(sweep: int, kind: int) -> np.ndarray:
+            mine = {(kind, p): blob for (k, c, p), blob in blobs.items() if (k, c) == (sweep, kind)}
+            return B.aligned(own.contexts, parts, mine, kind, np.int64).astype(np.float64)
+
+        customers = at(0, 1)
+        return [Totals(lower, parent, words, customers, at(k, 0), c, t) for k, (parent, c, t) in enumerate(scalars)]
+
+    wanted = written(B.asked(table, ask), block_mb=16)
+    rows = written(wanted.groupBy("part").applyInArrow(collect, ROWS), block_mb=16)
+    models = rows.where(F.col("part") == MODEL).select(F.col("block").cast("int").alias("owner"), F.lit(0).alias("sweep"), F.col("part").alias("kind"), F.col("extra").alias("blob"))
+    found = added(rows, "c t p1 p2 v s1 s2 n")
+    lower, words, train_tokens = discount(found["s1"], found["s2"]), found["v"], found["n"]
+    scalars, shared = [], None
     while True:
-        totals = Totals(lower, discount(found.get("p1", 0), found.get("p2", 0)), words, customers, np.array([found.get(f"t{k}", 0) for k in range(width)], np.float64), found.get("c", 0), found.get("t", 0))
-        history.append(totals)
-        if len(history) > burn_in + samples:
+        scalars.append((discount(found["p1"], found["p2"]), found["c"], found["t"]))
+        totals = exchanged(rows, len(scalars) - 1)
+        shared = totals if shared is None else shared.unionByName(totals)
+        if len(scalars) > burn_in + samples:
             break
-        found = summed(history, False)
-    train_tokens = int(customers.sum())
 
-    def answer(group: pa.Table) -> pa.Table:
+        def swept(group: pa.Table) -> pa.Table:
+            model = group.filter(pc.equal(group.column("kind"), MODEL))
+            own = opened(model.column("owner")[0].as_py(), model.column("blob")[0].as_py())
+            for tables, served, at_parent in sweeps(own, history_of(own, group, scalars), seed):
+                pass
+            sums, out = seats(own, tables, served, at_parent)
+            B.trim()
+            return pa.concat_tables([kept(own, b"", sums), *out])
+
+        rows = written(models.unionByName(shared).groupBy("owner").applyInArrow(swept, ROWS), block_mb=16)
+        found = added(rows, "c t p1 p2")
+
+    def answer(group: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(np.array(group.column("block")), kind="stable")
         group = group.take(pa.array(order))
-        keys, bounds, extras = gather(group)
-        own = merged(group.column("part")[0].as_py(), keys, extras, bounds, width)
+        keys, bounds, asked = gather(group)
+        own = merged(group.column("part")[0].as_py(), keys, asked, bounds)
+        history, width = history_of(own, right, scalars), len(own.contexts)
         pair_id = own.word * width + own.context
         place = np.minimum(np.searchsorted(own.keys, keys), max(0, len(own.keys) - 1))
         known = own.keys[place] == keys if len(own.keys) else np.zeros(len(keys), bool)
         total = np.bincount(own.word, weights=own.count, minlength=len(own.keys)).astype(np.uint32)
         # every pair that is asked for: its word, context, and its place among the pairs with counts
-        parts_of = [_arrays(x, np.uint16, np.uint16, np.uint32)[:2] for x in extras]
-        word_at = np.repeat(np.arange(len(keys)), np.concatenate([x for x, _ in parts_of]))
-        context = np.concatenate([c for _, c in parts_of]).astype(np.int64)
+        word_at = np.repeat(np.arange(len(keys)), np.concatenate(asked.of_word))
+        context = np.concatenate(asked.context)
         ask_id = place[word_at] * width + context
         at = np.minimum(np.searchsorted(pair_id, ask_id), max(0, len(pair_id) - 1))
         seen = known[word_at] & (pair_id[at] == ask_id) if len(pair_id) else np.zeros(len(ask_id), bool)
@@ -318,13 +361,13 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
         logs = np.log10(np.maximum(mean, 1e-300)).astype(np.float32)
         counts = np.zeros(len(keys), np.uint32)
         counts[known] = total[place[known]]
-        ends = np.concatenate(([0], np.cumsum([len(c) for _, c in parts_of])))
+        ends = np.concatenate(([0], np.cumsum([len(c) for c in asked.context])))
         blobs = [_blobs(counts[a:z], logs[i:j]) for a, z, i, j in zip(bounds[:-1], bounds[1:], ends[:-1], ends[1:], strict=True)]
         return pa.table({"block": group.column("block"), "part": group.column("part"), "answer": pa.array(blobs, pa.binary())})
 
     def finish(block: B.Block, blobs: dict) -> pa.Table:
-        tokens = tokens_of(block, contexts)
-        pairs = _pairs(tokens, width)
+        tokens = tokens_of(block)
+        pairs = _pairs(tokens)
         got = [_arrays(x, np.uint32, np.float32) for _, x in sorted(blobs.items())]
         count = np.concatenate([c for c, _ in got]).astype(np.float64)
         logs = np.concatenate([x for _, x in got]).astype(np.float64)
@@ -337,5 +380,5 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
             "train_tokens": pa.array(np.full(len(block.ids), train_tokens), pa.int64()), "base_score": pa.array(by_doc(base)), "score": pa.array(by_doc(logs)),
         })
 
-    answers = written(wanted.groupBy("part").applyInArrow(answer, B.ANSWER_SCHEMA), block_mb=16)
+    answers = written(wanted.groupBy("part").cogroup(shared.groupBy("owner")).applyInArrow(answer, B.ANSWER_SCHEMA), block_mb=16)
     return B.with_answers(table, answers, finish, RESULT)
