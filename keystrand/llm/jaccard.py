@@ -12,6 +12,8 @@ clusters; a cluster's incidence rows meet in tiles (pairs of bounded doc
 blocks), where overlap counts are accumulated by n-gram, sets that have too few
 shared members for their size are discarded, and links are followed breadth
 first, so that a tile returns a spanning forest, never all pairs of a group.
+Where links are counted, every pair of a tile is evaluated; a tile then returns
+one number for each class besides its forest.
 """
 
 from __future__ import annotations
@@ -58,8 +60,8 @@ def shingle_sets(block: B.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], key[new]
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets (sorted distinct members), as pairs of indices."""
+def narrowed(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The incidence of sets that may have links: sizes of all sets, and (set, member) by set."""
     size = np.array([len(x) for x in sets], np.int64)
     need = -(-percent * size // 100)
     doc = np.repeat(np.arange(len(sets)), size)
@@ -71,9 +73,47 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         if keep.all():
             break
         doc, col = doc[keep], col[keep]
+    return size, doc, np.unique(col, return_inverse=True)[1]
+
+
+def counted(sets: list[np.ndarray], percent: int, copies: np.ndarray, side: np.ndarray | None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links, and for each set the copies of all sets that it links to.
+
+    With sides, only sets of the other side count.
+    """
+    size, doc, col = narrowed(sets, percent)
+    links, total = [], np.zeros(len(sets), np.int64)
+    if not len(doc):
+        return links, total
+    rows = np.searchsorted(doc, np.arange(len(sets) + 1))
+    order = np.argsort(col, kind="stable")
+    listed, heads = doc[order], np.concatenate(([0], np.cumsum(np.bincount(col))))
+    outside = np.diff(rows) > 0
+    for seed in np.flatnonzero(outside):
+        if not outside[seed]:
+            continue
+        outside[seed], queue = False, [int(seed)]
+        while queue:
+            x = queue.pop()
+            mine = col[rows[x] : rows[x + 1]]
+            starts, lens = heads[mine], heads[mine + 1] - heads[mine]
+            at = np.repeat(starts - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(int(lens.sum()))
+            overlap = np.bincount(listed[at], minlength=len(sets))
+            overlap[x] = 0
+            near = np.flatnonzero((overlap > 0) & ((100 + percent) * overlap >= percent * (size[x] + size)))
+            total[x] = copies[near if side is None else near[side[near] != side[x]]].sum()
+            new = near[outside[near]]
+            outside[new] = False
+            queue.extend(new.tolist())
+            links.extend((x, y) for y in new.tolist())
+    return links, total
+
+
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets (sorted distinct members), as pairs of indices."""
+    size, doc, col = narrowed(sets, percent)
     if not len(doc):
         return []
-    _, col = np.unique(col, return_inverse=True)
     rows = np.searchsorted(doc, np.arange(len(sets) + 1))
     outside = np.bincount(doc, minlength=len(sets)) > 0
 
@@ -120,8 +160,8 @@ def _postings(doc: np.ndarray, key: np.ndarray, df: np.ndarray, count: np.ndarra
     return d[keep], key[order][keep]
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sets, equal-set classes and their components; returns (row, doc_id, n, class, component), one row per document."""
+def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """Sets, equal-set classes and their components; returns (row, doc_id, n, class, component), and n_links if counted, one row per document."""
     spark = docs.sparkSession
     table = B.block_table(docs, id_col, text_col)
     parts = B.owners(table)
@@ -162,10 +202,10 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
     sets = written(B.with_answers(table, answers, finish, SETS), block_mb=16)
 
     # rows of equal sets share the smallest row as their class; a set without members is a class of its own
-    rep = sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("row").alias("class"))
+    rep = sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("row").alias("class"), F.count("*").alias("copies"))
     rows = written(
-        sets.where("n > 0").select("row", "doc_id", "n", "sig1", "sig2").join(rep, ["sig1", "sig2", "n"]).select("row", "doc_id", "n", "class")
-        .unionByName(sets.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("class")))
+        sets.where("n > 0").select("row", "doc_id", "n", "sig1", "sig2").join(rep, ["sig1", "sig2", "n"]).select("row", "doc_id", "n", "class", "copies")
+        .unionByName(sets.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("class"), F.lit(1).cast("long").alias("copies")))
     )
     heads = rows.where("row = class").select("row")
     posted = written(sets.select("row", "postings").where(F.size("postings") > 0).join(heads, "row").select("row", F.explode("postings").alias("key")))
@@ -173,34 +213,50 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
     clusters = written(components(posted.join(least, "key").where("row != b").select(F.col("row").alias("a"), "b").distinct()))
 
     # where each set goes is settled on narrow rows; the members themselves move to their cluster only then
-    clusters = clusters.withColumnRenamed("node", "row").join(sets.select("row", "n"), "row")
+    clusters = clusters.withColumnRenamed("node", "row").join(rows.where("row = class").select("row", "n", "copies"), "row")
     weigh = clusters.groupBy("root").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).cast("int").alias("sides"))
     buckets = max(1, -(-(clusters.agg(F.sum("n")).first()[0] or 0) * 8 // TILE_BYTES))
-    goal = written(clusters.join(weigh, "root").withColumn("side", F.when(F.col("sides") > 1, F.pmod(F.xxhash64("row"), F.col("sides"))).otherwise(0).cast("int")).select("row", "root", "side", "sides"))
+    goal = written(clusters.join(weigh, "root").withColumn("side", F.when(F.col("sides") > 1, F.pmod(F.xxhash64("row"), F.col("sides"))).otherwise(0).cast("int")).select("row", "copies", "root", "side", "sides"))
     member = sets.where("members is not null").select("row", "members").join(goal, "row")
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     tile = F.struct("root", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     task = F.when(F.col("sides") > 1, F.xxhash64("tile")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets)))
-    member = member.withColumn("tile", tile).select(task.alias("task"), F.xxhash64("tile").alias("tile"), "row", "members")
+    member = member.withColumn("tile", tile).select(task.alias("task"), F.xxhash64("tile").alias("tile"), "row", "copies", "side", (F.col("tile.i") != F.col("tile.j")).alias("apart"), "members")
 
     def link(group: pa.Table) -> pa.Table:
         tiles = np.array(group.column("tile"))
         row, members, found = np.array(group.column("row")), group.column("members"), []
+        copies, side, apart = (np.array(group.column(c)) for c in ("copies", "side", "apart"))
+        linked, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         order = np.lexsort((row, tiles))
         for at in np.split(order, np.flatnonzero(np.diff(tiles[order])) + 1):
             if len(at) > 1:
-                found += [(int(row[at[x]]), int(row[at[y]])) for x, y in forest([np.frombuffer(members[int(i)].as_py(), np.uint64) for i in at], percent)]
+                sets = [np.frombuffer(members[int(i)].as_py(), np.uint64) for i in at]
+                if count_links:  # two sides meet in one tile only, a side meets itself in its own tile only
+                    tree, degree = counted(sets, percent, copies[at], side[at] if apart[at[0]] else None)
+                    linked.append(row[at[degree > 0]])
+                    total.append(degree[degree > 0])
+                else:
+                    tree = forest(sets, percent)
+                found += [(int(row[at[x]]), int(row[at[y]])) for x, y in tree]
         B.trim()
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        a, b, none = np.array([x for x, _ in found], np.int64), np.array([y for _, y in found], np.int64), np.zeros(len(found), np.int64)
+        own, more = np.concatenate(linked), np.concatenate(total)
+        return pa.table({"a": np.concatenate((a, own)), "b": np.concatenate((b, own)), "links": np.concatenate((none, more))})
 
-    links = written(member.groupBy("task").applyInArrow(link, "a long, b long"))
+    # a row of a class and itself carries links of the class, in part
+    links = written(member.groupBy("task").applyInArrow(link, "a long, b long, links long"))
     roots = components(links)
     placed = rows.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("component", F.coalesce("root", "class"))
-    return placed.select("row", "doc_id", "n", "class", "component")
+    if not count_links:
+        return placed.select("row", "doc_id", "n", "class", "component")
+    degree = links.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+    n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    return placed.join(degree, "class", "left").select("row", "doc_id", "n", "class", "component", n_links)
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links).
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links); and n_links (other documents it links to), if counted.
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets
     of k-word shingles (A-Z lower-cased). A null text, or one without words, has
@@ -208,10 +264,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "
     Null ids never name a component that has another id. An empty table gives
     an empty result. Members are 64-bit hashes; other columns are not read.
     """
-    found = written(classes(docs, k, percent, id_col, text_col))
+    found = written(classes(docs, k, percent, id_col, text_col, count_links))
     low = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     # a component is unique in the small side, so a large one can be split over tasks
-    return found.join(low, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return found.join(low, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if count_links else []))
 
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -262,3 +262,32 @@ def test_stages_on_odd_and_empty_rows(spark):
             assert got.columns == docs.columns, name
             got.collect()
         corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+
+
+def test_jaccard_links_of_a_chain_and_a_triangle(spark):
+    """One component each, told apart by links; a copy of a text counts as a document."""
+    w = [f"w{i}" for i in range(80)]
+    chain = [w[0:60], w[6:66], w[12:72]]
+    triangle = [[f"t{x}" for x in w[a : a + 60]] for a in (0, 1, 2)]
+    texts = [" ".join(x) for x in (*chain, chain[0], *triangle)] + ["alone in the world of these texts", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.jaccard_join(df, count_links=True).collect()}
+    assert got == {0: (0, 2), 1: (0, 3), 2: (0, 1), 3: (0, 2), 4: (4, 2), 5: (4, 2), 6: (4, 2), 7: (7, 0), 8: (8, 0)}
+
+
+@pytest.mark.parametrize("tile", [1 << 23, 4_000])
+def test_jaccard_links_equal_brute_force(spark, monkeypatch, tile):
+    import random
+
+    monkeypatch.setattr(jaccard, "TILE_BYTES", tile)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(90):
+        w = [f"w{i}" for i in range(60)]
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(60)] = f"e{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    want = [sum(i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_links for r in jaccard.jaccard_join(df, count_links=True).orderBy("doc_id").collect()] == want
