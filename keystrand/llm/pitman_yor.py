@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .shared import written
+from .shared import remove_folder, shared_folder, written
 
 BLOCK_BYTES = 8 << 20
 STIRLING = 64
@@ -306,15 +306,18 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
         customers = at(0, 1)
         return [Totals(lower, parent, words, customers, at(k, 0), c, t) for k, (parent, c, t) in enumerate(scalars)]
 
-    wanted = written(B.asked(table, ask), block_mb=16)
-    rows = written(wanted.groupBy("part").applyInArrow(collect, ROWS), block_mb=16)
-    models = rows.where(F.col("part") == MODEL).select(F.col("block").cast("int").alias("owner"), F.lit(0).alias("sweep"), F.col("part").alias("kind"), F.col("extra").alias("blob"))
+    spark = docs.sparkSession
+    wanted = B.asked(table, ask)  # made twice: it is larger than the blocks
+    folder = shared_folder(spark)
+    rows = written(wanted.groupBy("part").applyInArrow(collect, ROWS), folder, block_mb=16)
+    models = written(rows.where(F.col("part") == MODEL).select(F.col("block").cast("int").alias("owner"), F.lit(0).alias("sweep"), F.col("part").alias("kind"), F.col("extra").alias("blob")), block_mb=16)
     found = added(rows, "c t p1 p2 v s1 s2 n")
     lower, words, train_tokens = discount(found["s1"], found["s2"]), found["v"], found["n"]
     scalars, shared = [], None
     while True:
         scalars.append((discount(found["p1"], found["p2"]), found["c"], found["t"]))
         totals = exchanged(rows, len(scalars) - 1)
+        remove_folder(spark, folder)
         shared = totals if shared is None else shared.unionByName(totals)
         if len(scalars) > burn_in + samples:
             break
@@ -328,7 +331,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
             B.trim()
             return pa.concat_tables([kept(own, b"", sums), *out])
 
-        rows = written(models.unionByName(shared).groupBy("owner").applyInArrow(swept, ROWS), block_mb=16)
+        folder = shared_folder(spark)
+        rows = written(models.unionByName(shared).groupBy("owner").applyInArrow(swept, ROWS), folder, block_mb=16)
         found = added(rows, "c t p1 p2")
 
     def answer(group: pa.Table, right: pa.Table) -> pa.Table:
