@@ -63,7 +63,7 @@ ORACLE = {
     "op1_source_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                   md5('17:' || doc_id) AS k
+                   md5('17:' || doc_id || ':' || md5(coalesce(text, ''))) AS k
             FROM documents),
         s AS (
             SELECT source, sum(size)::BIGINT AS source_size,

@@ -43,15 +43,26 @@ def test_mixing(spark, rows):
 
 
 def test_mix_is_carried_out(spark, rows):
-    docs = odd(spark).dropDuplicates(["doc_id"])
+    """Words out are words planned, row by row, whichever rows repeat."""
+    docs = odd(spark)
     plan = mixing.mix(docs)
-    got = mixing.mixed(docs, plan)
+    got = mixing.mixed(docs)
     assert got.columns == docs.columns
-    words = sum(count(r.text) for r in got.collect())
-    assert words == plan.agg(F.sum("taken")).first()[0]
+    planned, out = {}, {}
+    for r in plan.collect():
+        planned[r.doc_id, r.source] = planned.get((r.doc_id, r.source), 0) + r.taken
+    for r in got.collect():
+        out[r.doc_id, r.source] = out.get((r.doc_id, r.source), 0) + count(r.text)
+    assert {k: v for k, v in planned.items() if v} == {k: v for k, v in out.items() if v}
     assert mixing.water_fill([10, 10, 100], [1, 2, 3], 120, 3) == [22.5, 30.0, 67.5]
 
 
+def test_mix_of_rows_that_repeat(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", "s", k) for k in (0, 0, 0, 1)] + [(None, "x y z", "s", 0)] * 5 + [(2, "q " * 9, "t", 0), (2, "w " * 11, "t", 0)], "doc_id long, text string, source string, extra int")
+    plan, got = mixing.mix(docs).collect(), mixing.mixed(docs).collect()
+    assert len(plan) == 11 and sum(r.size for r in plan) == sum(r.taken for r in plan) == sum(count(r.text) for r in got) == 63
+
+
 @pytest.mark.parametrize("heavy,cells", [(1000, 1 << 16), (2, 8)])
 def test_sharding(spark, rows, heavy, cells):
     got = sharding.shard(odd(spark), shards=6, heavy=heavy, cells=cells).collect()
@@ -240,6 +251,23 @@ def test_topk(spark, block):
     assert sorted(map(repr, got)) == sorted(map(repr, brute_topk(single, ids, 5)))
 
 
+@pytest.mark.parametrize("large", [[1e7] * 4, [3e12, -3e12, 1.0, 0.5], [1e30, 1e30, 0.0, 0.0]])
+def test_topk_of_large_components(spark, large):
+    """Finite vectors take part however large they are; only a result beyond 64 bits is an error."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)] + [(100, large), (101, [0.0, 0.0, 1.0, 1.0]), (102, [-x for x in large])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    want = brute_topk(vectors, {i for i in range(0, 60, 10)} | {101}, 5)
+    asked = "vec_id % 10 = 0 AND vec_id < 60 OR vec_id = 101"
+    if any(abs(r[3]) >= 1 << 63 for r in want):
+        with pytest.raises(Exception, match="64 bits"):
+            topk.search(df, df.where("vec_id = 0"), k=5).collect()
+        asked, want = "vec_id = 101", [r for r in want if r[0] == 101]
+    else:
+        assert {100, 102} & {r[2] for r in want}
+    assert sorted(map(repr, (tuple(r) for r in topk.search(df, df.where(asked), k=5).collect()))) == sorted(map(repr, want))
+
+
 def test_empty_tables(spark):
     docs = empty(spark)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -248,7 +276,7 @@ def test_empty_tables(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     for df in (
-        mixing.mix(docs), mixing.mixed(docs, mixing.mix(docs)), sharding.shard(docs), exact_dedup.dedup(docs), exact_dedup.survivors(docs), jaccard.jaccard_join(docs), jaccard.survivors(docs), substring_dedup.substring_dedup(docs),
+        mixing.mix(docs), mixing.mixed(docs), sharding.shard(docs), exact_dedup.dedup(docs), exact_dedup.survivors(docs), jaccard.jaccard_join(docs), jaccard.survivors(docs), substring_dedup.substring_dedup(docs),
         bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path), pitman_yor.score(docs), language.identify(docs), quality.classify(docs, labels), topk.search(vectors, vectors),
     ):
         assert df.count() == 0

@@ -22,7 +22,7 @@ def brute(frame: pd.DataFrame, coder) -> list[tuple]:
     rows = [r for r, c in zip(rows, components(rows), strict=True) if c[2] == r[0]]
     by: dict = {}
     for i, t, s in rows:
-        by.setdefault(s, []).append((hashlib.md5(f"17:{i}".encode()).hexdigest(), i, t))
+        by.setdefault(s, []).append((hashlib.md5(f"17:{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest(), i, t))
     names = sorted(by)
     sizes = [sum(len(WORD.findall(t)) for _, _, t in by[s]) for s in names]
     taken = []
