@@ -34,7 +34,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mixed(docs, mixing.mix(docs))
+    taken = mixing.mixed(docs)
     if "n_chars" in docs.columns:  # a text may have been cut
         taken = taken.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
     return taken
