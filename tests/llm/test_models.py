@@ -39,9 +39,30 @@ def test_kernel_scores_equal_the_product_with_landmarks():
     grams = language.Grams()
     sets = [set(grams(t).tolist()) for t in texts]
     assert len(sets[0]) == len({t for n in range(1, 5) for t in [texts[0][i : i + n] for i in range(len(texts[0]) - n + 1)]})
-    scored = model.scorer()(texts)
+    scored, known = model.scorer()(texts)
+    assert np.allclose(known, 1)
     assert [model.languages[k] for k in scored.argmax(axis=1)] == ["en", "de"] * 3
-    assert np.allclose(scored[0], model.scorer()(["THE CAT sat on the mat"])[0])
+    assert np.allclose(scored[0], model.scorer()(["THE CAT sat on the mat"])[0][0])
+
+
+def test_regression_equals_kernel_ridge_by_hand():
+    """Nyström features and their regression against the normal equations in the kernel matrices, over sets of n-grams."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["der", "die", "und", "haus"] if k % 2 else ["the", "and", "of", "house"], 6)) + f" {k}" for k in range(30)]
+    labels = ["de" if k % 2 else "en" for k in range(30)]
+    grams = lambda t: {t.encode()[i : i + n] for n in range(1, 5) for i in range(len(t.encode()) - n + 1)}
+    kernel = lambda a, b: np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in map(grams, b)] for x in map(grams, a)])
+    model = language.fit(texts, labels, landmarks=8)
+    marks = [texts[i] for i in language.chosen(labels, 8)]
+    k, own, x = kernel(texts, marks), kernel(marks, marks), kernel(["the house of haus", "und die"], marks)
+    for j, lang in enumerate(model.languages):
+        y = np.array([1.0 if z == lang else -1.0 for z in labels])
+        both = np.concatenate((k, np.ones((30, 1))), axis=1)
+        ridge = np.zeros((9, 9))
+        ridge[:8, :8] = language.RIDGE * own
+        a = np.linalg.solve(both.T @ both + ridge, both.T @ y)  # as many texts of either language: the weights are 1
+        got = model.scorer()(["the house of haus", "und die"])[0][:, j]
+        assert np.allclose(got, x @ a[:8] + a[8], atol=1e-4)
 
 
 def test_grams_do_not_depend_on_pieces():

@@ -85,28 +85,47 @@ def test_lpt_is_near_even():
     assert max(loads) - min(loads) <= min(s for _, s in sizes) + 10
 
 
-@pytest.mark.parametrize("capacity", [1, 2000, 1 << 30])
-def test_exact_dedup(spark, rows, capacity):
+def dedup_by_hand(rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups: dict = {}
-    for i, t, _ in rows:
-        groups.setdefault(norm(t), []).append(i)
-    want = set()
+    for r in rows:
+        groups.setdefault(norm(r[1]), []).append(r[0])
+    want = []
     for t, ids in groups.items():
         keep = min((i for i in ids if i is not None), default=None)
-        want |= {(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids}
-    got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.dedup(odd(spark), capacity).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    stay = exact_dedup.survivors(odd(spark))
-    assert stay.columns == odd(spark).columns
-    assert sorted(norm(r.text) for r in stay.collect()) == sorted(groups)
+        want += [(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    return want, groups, norm
+
+
+@pytest.mark.parametrize("capacity,bits", [(1, 64), (2000, 64), (1 << 30, 64), (2000, 3), (100, 1)])
+def test_exact_dedup(spark, rows, capacity, bits):
+    """All rows come back, repeated ones too, at any depth of the directory, and where many texts share a key."""
+    want, groups, norm = dedup_by_hand(rows)
+    got = [tuple(r) for r in exact_dedup.dedup(odd(spark), capacity, key_bits=bits).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    if (capacity, bits) == (2000, 64):
+        stay = exact_dedup.survivors(odd(spark))
+        assert stay.columns == odd(spark).columns
+        assert sorted(norm(r.text) for r in stay.collect()) == sorted(groups)
+
+
+def test_exact_dedup_of_shared_texts(spark):
+    """Texts with very many rows are inserted once; repeated rows and null ids among them count."""
+    rows = [(k % 1500 if k % 3 else None, "one text" if k % 2 else f"text {k % 7}") for k in range(9000)] + [(5, "alone"), (5, "alone")]
+    got = [tuple(r) for r in exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 500).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, dedup_by_hand(rows)[0]))
 
 
 def test_directory_doubles(spark):
-    cells = spark.createDataFrame([(0, 10), (1, 10), (1 << 15, 5)], "cell int, bytes long")
-    depth, local = exact_dedup.directory(cells, 15)
-    assert depth == 16 and local[0] == local[1] == 16 and local[1 << 15] == 1
-    assert exact_dedup.directory(cells, 100) == (0, {0: 0})
+    at = lambda x: x << 56 if x < 128 else (x << 56) - (1 << 64)
+    keys = spark.createDataFrame([(at(0), 10), (at(0) + 1, 10), (at(200), 5), (at(201), 30)], "key long, bytes long")
+    buckets = exact_dedup.directory(keys, 15)
+    assert buckets[63, 0] == 20 and buckets[8, 201] == 30 and buckets[8, 200] == 5  # keys 0 and 1 differ in the last bit, which no directory looks at
+    assert all(x <= 15 for b, x in buckets.items() if b not in ((63, 0), (8, 201)))
+    assert sum(2.0 ** -d for d, _ in buckets) == 1
+    assert exact_dedup.directory(keys, 100) == {(0, 0): 55}
+    table = exact_dedup.Directory(keys, buckets)
+    assert {(r.key, r.depth, r.prefix) for r in table.routed(keys).collect()} == {(at(0), 63, 0), (at(0) + 1, 63, 0), (at(200), 8, 200), (at(201), 8, 201)}
 
 
 def components(rows, percent=75):
@@ -221,13 +240,25 @@ def test_classifiers_on_odd_rows(spark, rows):
         assert r.lang_pred in ("und", "en", "de") and 0 <= r[-1] <= 1
         assert r._held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 4 == 2)
     kept = language.accepted(odd(spark))
-    assert kept.columns == odd(spark).columns and kept.count() == sum(any(ch.isalpha() for ch in t or "") for _, t, _ in rows)
+    want = sorted((str(r.doc_id), r.lang_pred) for r in found.collect() if r.lang_pred != "und" and r[-1] >= language.FLOOR)
+    assert kept.columns == odd(spark).columns and sorted((str(r.doc_id), r.lang) for r in kept.collect()) == want
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(20)] + [(None, 1, 0), (3, None, 0), (4, 0, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
     scored = quality.classify(odd(spark), labels).collect()
     assert len(scored) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in scored)
     assert {r.score for r in quality.classify(odd(spark), labels.limit(0)).collect()} == {0.5}
 
 
+def test_language_stage_without_labels_and_with_other_scripts(spark):
+    """Without labels only texts without a letter go; with them, so do texts in a script that was not learned."""
+    letters = lambda t: any(ch.isalpha() for ch in t or "")
+    docs = odd(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(str(r.doc_id) for r in language.accepted(docs).collect()) == sorted(str(r[0]) for r in odd_rows() if letters(r[1]))
+    text = {"en": "the quick brown fox jumps over the lazy dog near the river bank", "de": "der schnelle braune fuchs springt über den faulen hund am ufer"}
+    rows = [(i, f"{text[lang]} {i}", lang) for i, lang in enumerate(["en", "de"] * 40)] + [(100, "Быстрая лиса прыгает через ленивую собаку", None), (101, "the fox jumps over the dog", None), (102, "123 456", "en")]
+    kept = {r.doc_id: r.lang for r in language.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert set(kept) == {*range(80), 101} and kept[101] == "en" and all(kept[i] == x for i, _, x in rows[:80])
+
+
 def brute_topk(vectors, queries, k):
     out = []
     fine = [(i, [int(np.floor(256 * float(v))) for v in x]) for i, x in vectors if x and all(v is not None and np.isfinite(v) for v in x)]
