@@ -3,7 +3,8 @@
 Each stage takes all that the one before kept, as a Parquet table, and its
 decisions take effect; all but the last return the columns of ``documents``.
 
-1. ``language_id``: documents without a language (no text or no letter) go.
+1. ``language_id``: each document gets its predicted language; those in none of
+   the learned languages (no text, no letter, or a score below the floor) go.
 2. ``exact_dedup``: of equal texts (white space aside) the smallest id stays.
 3. ``near_dedup``: of documents linked by a Jaccard similarity of at least 0.75
    of their five-word shingles, the smallest id stays.
