@@ -8,6 +8,13 @@ that blob, and the block, deriving the same sorted keys again, reads the answer
 by position. Nothing that grows with the corpus is broadcast or collected; a
 key occurs once in each block's request however often the block has it, so a
 hot key loads its owner with one entry for each block only.
+
+Every block may ask every owner, so there are up to blocks times owners packed
+requests. Blocks and owners therefore grow with the root of the corpus (see
+:func:`sizes`): the requests are in proportion to the corpus, each holds a
+hundred keys or more, and a task's memory grows as the root: 4 MB blocks up to
+160 GB of text, 100 MB at 100 TB. A hot key's share of an owner is one entry for
+each block, at 100 TB a hundredth of what the owner holds.
 """
 
 from __future__ import annotations
@@ -27,7 +34,8 @@ from ..shipping import ship
 from .shared import written
 
 BLOCK_BYTES = 4 << 20
-OWNER_BYTES = 24 << 20
+#: An owner has the keys of so many blocks' text.
+OWNER_BLOCKS = 6
 NO_ID = np.iinfo(np.int64).max  # stands for a null id, after all others
 
 BLOCK_SCHEMA = "block long, size long, ids array<long>, lens array<long>, text binary"
@@ -44,11 +52,23 @@ def trim() -> None:
         return
 
 
-def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Write the documents as blocks; a text is never cut, so one long text may be a block of its own.
+def sizes(total: int, least: int = BLOCK_BYTES) -> tuple[int, int]:
+    """Bytes of a block, and number of owners (a power of two), for so many bytes of text."""
+    block = max(least, math.isqrt(100 * total))
+    return block, power_of_two(total / (OWNER_BLOCKS * block))
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+
 
-    A null text has length -1, a null id stays null.
+def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """Write the documents as blocks; returns the table and the number of owners.
+
+    A text is never cut, so one long text may be a block of its own. A null text
+    has length -1, a null id stays null; ids must be integers or their text.
     """
+    block_bytes, parts = sizes(text_bytes(docs, text_col), least)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -75,12 +95,7 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return written(rows.mapInArrow(make, BLOCK_SCHEMA), block_mb=8)
-
-
-def owners(blocks: DataFrame, each: int = OWNER_BYTES) -> int:
-    """A power of two of key ranges, so that each owner gets the keys of about ``each`` bytes of text."""
-    return power_of_two((blocks.agg(F.sum("size")).first()[0] or 0) / each)
+    return written(rows.mapInArrow(make, BLOCK_SCHEMA), block_mb=8), parts
 
 
 def power_of_two(least: float) -> int:

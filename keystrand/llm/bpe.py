@@ -13,6 +13,7 @@ that of a tokenizer, whatever the input.
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 import struct
 from collections import defaultdict
@@ -28,11 +29,11 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..shipping import ship
 from . import blocks as B
+from .shared import written
 
 CODED = "block long, ids array<long>, counts array<long>, n long, digest long, codes binary, rank binary"
 BLOCK_BYTES = 4 << 20
 _ranks: dict[int, dict[bytes, int]] = {}
-_coders: dict[tuple[int, str], object] = {}
 
 
 def read_ranks(path: str) -> bytes:
@@ -48,13 +49,64 @@ def ranks_of(blob: bytes) -> dict[bytes, int]:
     return _ranks[key]
 
 
-def _coder(blob: bytes, pattern: str):
-    key = hash(blob), pattern
-    if key not in _coders:
-        import tiktoken
-
-        _coders[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(blob), special_tokens={})._core_bpe
-    return _coders[key]
+#: Up to so many bytes the pair to merge is looked for in a list, beyond it in a heap.
+SHORT = 64
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one pre-token: of all neighbours the pair of lowest rank is merged (the first of equals), until none has a rank."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) <= SHORT:
+        parts = [word[i : i + 1] for i in range(len(word))]
+        pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        while True:
+            best, at = None, -1
+            for i, r in enumerate(pairs):
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if best is None:
+                return [ranks[x] for x in parts]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = ranks.get(parts[at] + parts[at + 1])
+            if at:
+                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
+    # a linked list of parts, by their first byte, and a heap of pairs; a pair counts if its parts are still those it was made of
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = bytearray(b"\x01") * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, z = heapq.heappop(heap)
+        if not alive[i] or end[i] >= n or end[end[i]] != z:
+            continue
+        alive[end[i]] = 0
+        end[i] = z
+        if z < n:
+            before[z] = i
+            if (r := ranks.get(word[i : end[z]])) is not None:
+                heapq.heappush(heap, (r, i, end[z]))
+        if i and (r := ranks.get(word[before[i] : z])) is not None:
+            heapq.heappush(heap, (r, before[i], z))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+def steady(docs: DataFrame) -> bool:
+    """Whether every scan of ``docs`` gives the same rows in the same order: only projections and filters over files (or a range)."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+
+    def fine(node) -> bool:
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        return node.nodeName() in ("Project", "Filter", "LogicalRelation", "RelationV2", "Relation", "Range", "SubqueryAlias") and all(map(fine, below))
+
+    return bool(plan.deterministic()) and fine(plan)
 
 
 def ascii_form(pattern: str) -> str:
@@ -163,14 +215,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     Texts are split twice, for the words and again for the positions: writing
     the positions down would cost more disk than a second pass costs time. Both
-    passes scan the same rows; a digest of the word list proves that they agree.
+    passes must see the same rows in the same order, also where a task is
+    repeated: files give that, and what does not come straight from files (after
+    a shuffle, say) is written first. A digest of the word list proves it.
     """
     spark = docs.sparkSession
     ship(spark)
     blob = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = B.power_of_two(size / B.OWNER_BYTES)
+    if not steady(rows):
+        rows = written(rows, block_mb=16)
+    block_bytes, parts = B.sizes(B.text_bytes(rows), block_bytes)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in pre_tokenised(batches, pattern, block_bytes):
@@ -180,13 +235,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block": pa.array([x.block], pa.int64()), "n": pa.array([len(mine)], pa.int32()), "digest": pa.array([_digest(x.keys)], pa.int64()), "words": pa.array([_packed(mine)], pa.binary())})
 
     def answer(group: pa.Table) -> pa.Table:
-        coder = _coder(blob.value, pattern)
+        ranks = ranks_of(blob.value)
         known: defaultdict = defaultdict()
         known.default_factory = known.__len__
         asked = []
         for n, words in zip(group.column("n").to_pylist(), group.column("words").to_pylist(), strict=True):
             asked.append(np.fromiter(map(known.__getitem__, _unpacked(words, n)), np.int64, n))
-        coded = [coder.encode_single_piece(w) for w in known]  # each distinct word once
+        coded = [merged(w, ranks) for w in known]  # each distinct word once
         lens = np.array([len(x) for x in coded], np.uint32)
         heads = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
         flat = np.fromiter((i for x in coded for i in x), np.uint32, int(heads[-1]))

@@ -160,11 +160,10 @@ def _postings(doc: np.ndarray, key: np.ndarray, df: np.ndarray, count: np.ndarra
     return d[keep], key[order][keep]
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Sets, equal-set classes and their components; returns (row, doc_id, n, class, component), and n_links if counted, one row per document."""
     spark = docs.sparkSession
-    table = B.block_table(docs, id_col, text_col)
-    parts = B.owners(table)
+    table, parts = B.block_table(docs, id_col, text_col, block_bytes)
 
     def ask(block: B.Block) -> Iterator[pa.RecordBatch]:
         _, key = shingle_sets(block, k)
@@ -255,7 +254,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
     return placed.join(degree, "class", "left").select("row", "doc_id", "n", "class", "component", n_links)
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links); and n_links (other documents it links to), if counted.
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets
@@ -264,7 +263,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "
     Null ids never name a component that has another id. An empty table gives
     an empty result. Members are 64-bit hashes; other columns are not read.
     """
-    found = written(classes(docs, k, percent, id_col, text_col, count_links))
+    found = written(classes(docs, k, percent, id_col, text_col, count_links, block_bytes))
     low = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     # a component is unique in the small side, so a large one can be split over tasks
     return found.join(low, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if count_links else []))

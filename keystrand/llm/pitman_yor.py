@@ -226,7 +226,7 @@ def sweeps(own: Owned, history: list[Totals], seed: int) -> Iterator[tuple[np.nd
         yield tables, served, at_parent
 
 
-def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Train on all documents but those of the held-out fold of crc32(id as text), score every document.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
@@ -236,8 +236,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
     both scores are 0. An empty table gives an empty result. Words are told
     apart by 64-bit hashes. Other columns are not read.
     """
-    table = B.block_table(docs, id_col, text_col, BLOCK_BYTES)
-    parts = B.owners(table)
+    table, parts = B.block_table(docs, id_col, text_col, block_bytes)
 
     def ask(block: B.Block) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(block)

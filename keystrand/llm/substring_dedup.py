@@ -72,7 +72,7 @@ def _kept(block: B.Block, words: B.Words, covered: np.ndarray) -> Iterator[bytes
         yield raw[a : z - 1] if z > a and raw[z - 1] == 32 else raw[a:z]
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 25, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Remove each word covered by a window that also starts in a document with a smaller id.
 
     Returns one row per document: doc_id, n_words, n_removed, spans (maximal
@@ -85,8 +85,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 25, id_col:
     if not 1 <= anchor <= (window + 1) // 2:
         raise ValueError("anchor must be at most half of window + 1, or a shared window may hold no indexed block")
     spark = docs.sparkSession
-    table = B.block_table(docs, id_col, text_col)
-    parts = B.owners(table)
+    table, parts = B.block_table(docs, id_col, text_col, block_bytes)
 
     def probe(block: B.Block) -> Iterator[pa.RecordBatch]:
         words, at, keys = _runs(block, window, anchor)

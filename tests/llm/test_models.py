@@ -113,17 +113,15 @@ def test_probabilities_add_up_to_one():
         assert abs(p.sum() / (pitman_yor.STRENGTH + customers[c]) - 1) < 1e-9
 
 
-def test_every_context_word_has_a_restaurant(spark, monkeypatch):
+def test_every_context_word_has_a_restaurant(spark):
     """6,000 words, each followed by its own: held-out text with the right followers beats text with others', for all of them."""
-    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 1 << 16)
-    monkeypatch.setattr(pitman_yor.B, "owners", lambda blocks: 8)
     words = 6000
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     ids = [i for i in range(200_000) if not held(i)][: 4 * words]
     asked = [i for i in range(200_000) if held(i)][: 2 * words]
     rows = [(i, f"a{k % words} b{k % words}") for k, i in enumerate(ids)]
     rows += [(i, f"a{k % words} b{(k + k // words) % words}") for k, i in enumerate(asked)]
-    found = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    found = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_bytes=20_000).collect()}
     assert all(found[i].held_out for i in asked) and {found[i].train_tokens for i in ids} == {12 * words}
     gain = np.array([found[a].score - found[b].score for a, b in zip(asked[:words], asked[words:], strict=True)])
     assert gain.min() > 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from texts import empty, odd, odd_rows
 
 import corpus_pipeline
-from keystrand.llm import bpe, exact_dedup, jaccard, language, mixing, pitman_yor, quality, sharding, substring_dedup, topk
+from keystrand.llm import blocks, bpe, exact_dedup, jaccard, language, mixing, pitman_yor, quality, sharding, substring_dedup, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -150,10 +150,26 @@ def components(rows, percent=75):
     return [(i, len(sets[k]), None if low[find(k)] == BIG else low[find(k)]) for k, (i, _, _) in enumerate(rows)]
 
 
+@pytest.fixture(params=["one owner", "many owners"])
+def block_bytes(request, monkeypatch):
+    """Blocks as usual, and blocks smaller than some texts, several in a task, with owners that see many blocks."""
+    if request.param == "one owner":
+        return blocks.BLOCK_BYTES
+    usual = blocks.sizes
+    monkeypatch.setattr(blocks, "sizes", lambda total, least: (2000, max(8, usual(total, 2000)[1])))
+    return 2000
+
+
+def test_sizes_grow_with_the_root():
+    for total in (0, 10**6, 10**9, 53 * 10**9, 10**12, 10**14):
+        block, parts = blocks.sizes(total)
+        assert total / block * parts <= max(64, total / 200) and block >= blocks.BLOCK_BYTES
+
+
 @pytest.mark.parametrize("tile", [1 << 23, 20_000])
-def test_jaccard_join(spark, rows, tile, monkeypatch):
+def test_jaccard_join(spark, rows, tile, monkeypatch, block_bytes):
     monkeypatch.setattr(jaccard, "TILE_BYTES", tile)
-    got = [tuple(r) for r in jaccard.jaccard_join(odd(spark)).collect()]
+    got = [tuple(r) for r in jaccard.jaccard_join(odd(spark), block_bytes=block_bytes).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, components(rows)))
 
 
@@ -176,7 +192,7 @@ def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert sorted(r.doc_id for r in stay.collect()) == sorted({c for _, _, c in components(rows)})
 
 
-def test_substring_dedup(spark, rows):
+def test_substring_dedup(spark, rows, block_bytes):
     starts: dict = {}
     split = [(BIG if i is None else i, WORD.findall(t or "")) for i, t, _ in rows]
     for i, w in split:
@@ -190,14 +206,14 @@ def test_substring_dedup(spark, rows):
             if starts[tuple(w[j : j + 50])] < i:
                 gone |= set(range(j, j + 50))
         want.append((None if i == BIG else i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
-    found = substring_dedup.substring_dedup(odd(spark)).collect()
+    found = substring_dedup.substring_dedup(odd(spark), block_bytes=block_bytes).collect()
     assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept)) for r in found) == sorted(map(repr, want))
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in found)
     with pytest.raises(ValueError):
         substring_dedup.substring_dedup(odd(spark), window=50, anchor=26)
 
 
-def test_bpe(spark, rows):
+def test_bpe(spark, rows, block_bytes):
     import base64
 
     import public_tokenizers
@@ -207,15 +223,28 @@ def test_bpe(spark, rows):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    found = bpe.decode(bpe.encode(odd(spark), path, public_tokenizers.PATTERN, block_bytes=5000), path).collect()
+    found = bpe.decode(bpe.encode(odd(spark), path, public_tokenizers.PATTERN, block_bytes=block_bytes), path).collect()
     want = [(i, coder.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows]
     assert sorted(repr((r.doc_id, list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)), bytes(r.decoded))) for r in found) == sorted(map(repr, want))
     assert all(r.n_tokens == len(r.ids) // 4 for r in found)
     again = bpe.encode(odd(spark), path, public_tokenizers.PATTERN, decoded=True).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, found))
+    import random
+
+    rng = random.Random(2)
+    for n in (1, 2, 7, 63, 64, 65, 66, 300, 5000):
+        for alphabet in ("ab", "a", "the andion ", "aé漢z0"):
+            word = "".join(rng.choice(alphabet) for _ in range(n)).encode()
+            assert bpe.merged(word, ranks) == coder._encode_single_piece(word), word
+
+
+def test_steady_plans(spark, small):
+    files = spark.read.parquet(f"{small}/documents.parquet")
+    assert bpe.steady(files.where("doc_id > 3").select("doc_id", F.upper("text")))
+    assert not bpe.steady(files.repartition(3)) and not bpe.steady(files.where(F.rand() > 0.5)) and not bpe.steady(files.orderBy("text"))
 
 
-def test_pitman_yor_counts(spark, rows):
+def test_pitman_yor_counts(spark, rows, block_bytes):
     import math
 
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
@@ -226,7 +255,7 @@ def test_pitman_yor_counts(spark, rows):
             for x in w:
                 c[x] = c.get(x, 0) + 1
     n, v = sum(c.values()), len(c)
-    got = pitman_yor.score(odd(spark)).collect()
+    got = pitman_yor.score(odd(spark), block_bytes=block_bytes).collect()
     want = sorted((str(i), held(i), len(w), sum(x in c for x in w), n, round(sum(math.log10((c.get(x, 0) + 1) / (n + v + 1)) for x in w), 6)) for i, w in words)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(-1e6 < r.score < 0 for r in got)
