@@ -19,12 +19,57 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([[g.score > b.score for b in bad] for g in good]) > 0.97
 
 
-def test_risk_stays_non_negative():
+def two_kinds(rng, n_p=3000, n_u=6000, share=0.6):
+    positive = rng.normal(1.5, 1, (n_p, 4))
+    mine = rng.random(n_u) < share
+    return positive, np.where(mine[:, None], rng.normal(1.5, 1, (n_u, 4)), rng.normal(-1.5, 1, (n_u, 4))), mine
+
+
+def test_risk_and_gradient_equal_sums_over_rows():
+    """Risks from moments against the mean loss of each row, gradients against differences, and the fit against both."""
     rng = np.random.default_rng(0)
-    positive, negative = rng.normal(2, 1, (400, 3)), rng.normal(-2, 1, (400, 3))
-    unlabelled = np.concatenate((rng.normal(2, 1, (300, 3)), rng.normal(-2, 1, (300, 3))))
-    score = quality.train(positive, unlabelled, 0.5)
-    assert (score(positive) > 0.5).mean() > 0.95 and (score(negative) < 0.5).mean() > 0.95
+    positive, unlabelled, _ = two_kinds(rng, 200, 300)
+    basis = quality.Basis(unlabelled.mean(axis=0), unlabelled.std(axis=0), ridges=5)
+    phi_p, phi_u = basis(positive), basis(unlabelled)
+    p, u = quality.moments(phi_p), quality.moments(phi_u)
+    w = rng.normal(0, 1, phi_p.shape[1])
+    for phi, m, y in ((phi_p, p, 1), (phi_p, p, -1), (phi_u, u, -1)):
+        got, slope = quality.risk(w, m, y)
+        assert abs(got - ((1 - y * phi @ w) ** 2 / 4).mean()) < 1e-9
+        for i in range(len(w)):
+            step = np.eye(len(w))[i] * 1e-5
+            assert abs((quality.risk(w + step, m, y)[0] - quality.risk(w - step, m, y)[0]) / 2e-5 - slope[i]) < 1e-6
+    whole = quality.together(quality.moments(phi_u[:100]), quality.moments(phi_u[100:]))
+    assert np.allclose(whole.a, u.a) and np.allclose(whole.m, u.m) and whole.n == 300
+    fit = quality.train(p, u, 0.6, steps=0)
+    assert np.abs(0.6 * quality.risk(fit, p, 1)[1] - 0.6 * quality.risk(fit, p, -1)[1] + quality.risk(fit, u, -1)[1] + quality.penalty(p) @ fit / 2).max() < 1e-9
+
+
+def test_risk_stays_non_negative():
+    rng = np.random.default_rng(1)
+    positive, unlabelled, mine = two_kinds(rng)
+    basis = quality.Basis(unlabelled.mean(axis=0), unlabelled.std(axis=0), ridges=20)
+    p, u = quality.moments(basis(positive)), quality.moments(basis(unlabelled))
+    f = basis(unlabelled) @ quality.train(p, u, 0.6)
+    assert ((f > 0) == mine).mean() > 0.97
+    few_p, few_u = quality.moments(basis(positive[:15])), quality.moments(basis(unlabelled[:40]))
+    ridge = quality.SHRINK
+    try:
+        quality.SHRINK = 0.0
+        negative = lambda w: quality.risk(w, few_u, -1)[0] - 0.9 * quality.risk(w, few_p, -1)[0]
+        start, end = (negative(quality.train(few_p, few_u, 0.9, steps=n)) for n in (0, 2000))
+        assert start < -0.01 and end > start / 10  # overfit at first, then brought back
+    finally:
+        quality.SHRINK = ridge
+
+
+def test_prior_is_estimated_from_positives_and_unlabelled_text():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.85):
+        positive, unlabelled, _ = two_kinds(rng, 4000, 8000, share)
+        at = np.linspace(-6, 6, 400)
+        above = lambda x: (x.sum(axis=1)[None, :] / 4 >= at[:, None]).mean(axis=1)
+        assert abs(quality.prior_of(above(unlabelled), above(positive), 8000, 4000) - share) < 0.04
 
 
 def test_language_on_held_out_documents(spark):
