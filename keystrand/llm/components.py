@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import remove_folder, shared_folder, written
+from .shared import looked_up, remove_folder, shared_folder, written
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """Large-star, then small-star; edges (a, b) with a > b."""
+def _stars(edges: DataFrame, number: int) -> DataFrame:
+    """Large-star, then small-star; edges (a, b) with a > b. A node with very many edges is joined apart from the others."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("times"))
+    large = looked_up(both.where("b > a"), least, ["a"], "times", 2 * number, "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+    least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("times"))
+    small = looked_up(large, least, ["a"], "times", 2 * number, "b")
     return small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -33,9 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
         if folder:
             remove_folder(spark, folder)
         row = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(row) == state:
+        if tuple(row) == state or not row[0]:
             break
         state, folder = tuple(row), new_folder
-        edges = _stars(new)
+        edges = _stars(new, row[0])
     roots = new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return new.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -10,8 +10,11 @@ documents, exactly, by the packed exchange of :mod:`.blocks`.
 Equal sets are one class from the start. Classes that share a posting form
 clusters; a cluster's incidence rows meet in tiles (pairs of bounded doc
 blocks), where overlap counts are accumulated by n-gram, sets that have too few
-shared members for their size are discarded, and links are followed breadth
-first, so that a tile returns a spanning forest, never all pairs of a group.
+shared members for their size are discarded, and links are followed depth
+first, so that a tile returns a spanning forest, never all pairs of a group. A
+cluster too large for one tile is cut in sides by the smallest posting of each
+set, so that near copies tend to share a side, and two sides meet in a tile
+only if they share a posting: the other blocks of the product are zero.
 Where links are counted, every pair of a tile is evaluated; a tile then returns
 one number for each class besides its forest.
 """
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
-from .shared import columns, fresh, written
+from .shared import columns, fresh, looked_up, written
 
 SETS = "row long, doc_id long, n long, sig1 long, sig2 long, postings array<long>, members binary"
 #: Bytes of members in a tile's side, about; a larger cluster is cut into so many sides.
@@ -160,6 +163,15 @@ def _postings(doc: np.ndarray, key: np.ndarray, df: np.ndarray, count: np.ndarra
     return d[keep], key[order][keep]
 
 
+def tiles_of(held: DataFrame) -> DataFrame:
+    """``held``: (key, side), which sides hold a posting. Returns (side, tile, apart): each side's own tile, and one for each two sides that share a posting."""
+    others = held.groupBy("key").agg(F.collect_set("side").alias("others")).where(F.size("others") > 1)
+    pairs = held.join(others, "key").select("side", F.explode("others").alias("other")).where("side < other").distinct()
+    both = pairs.select("side", "other").unionByName(pairs.select(F.col("other").alias("side"), F.col("side").alias("other")))
+    both = both.select("side", F.xxhash64(F.least("side", "other"), F.greatest("side", "other")).alias("tile"), F.lit(True).alias("apart"))
+    return both.unionByName(held.select("side", F.xxhash64("side").alias("tile"), F.lit(False).alias("apart")).distinct())
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Sets, equal-set classes and their components; returns (row, doc_id, n, class, component), and n_links if counted, one row per document."""
     spark = docs.sparkSession
@@ -201,26 +213,34 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
     sets = written(B.with_answers(table, answers, finish, SETS), block_mb=16)
 
     # rows of equal sets share the smallest row as their class; a set without members is a class of its own
-    rep = sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("row").alias("class"), F.count("*").alias("copies"))
+    total = sets.count()
+    rep = sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("row").alias("class"), F.count("*").alias("copies"), F.count("*").alias("times"))
     rows = written(
-        sets.where("n > 0").select("row", "doc_id", "n", "sig1", "sig2").join(rep, ["sig1", "sig2", "n"]).select("row", "doc_id", "n", "class", "copies")
+        looked_up(sets.where("n > 0").select("row", "doc_id", "n", "sig1", "sig2"), rep, ["sig1", "sig2", "n"], "times", total, "row").select("row", "doc_id", "n", "class", "copies")
         .unionByName(sets.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("class"), F.lit(1).cast("long").alias("copies")))
     )
     heads = rows.where("row = class").select("row")
-    posted = written(sets.select("row", "postings").where(F.size("postings") > 0).join(heads, "row").select("row", F.explode("postings").alias("key")))
-    least = posted.groupBy("key").agg(F.min("row").alias("b"))
-    clusters = written(components(posted.join(least, "key").where("row != b").select(F.col("row").alias("a"), "b").distinct()))
+    posted = written(sets.select("row", "postings").where(F.size("postings") > 0).join(heads, "row").select("row", F.array_min("postings").alias("anchor"), F.explode("postings").alias("key")))
+    least = posted.groupBy("key").agg(F.min("row").alias("b"), F.count("*").alias("times"))
+    edges = looked_up(posted.select("row", "key"), least, ["key"], "times", total, "row").where("row != b").select(F.col("row").alias("a"), "b").distinct()
+    clusters = written(components(edges))
 
     # where each set goes is settled on narrow rows; the members themselves move to their cluster only then
-    clusters = clusters.withColumnRenamed("node", "row").join(rows.where("row = class").select("row", "n", "copies"), "row")
-    weigh = clusters.groupBy("root").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).cast("int").alias("sides"))
+    clusters = clusters.withColumnRenamed("node", "row").join(rows.where("row = class").select("row", "n", "copies"), "row").join(posted.select("row", "anchor").distinct(), "row")
+    weigh = clusters.groupBy("root").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).cast("int").alias("sides"), F.count("*").alias("times"))
+    heap = clusters.groupBy("root", "anchor").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).cast("int").alias("pieces"), F.count("*").alias("times"))
     buckets = max(1, -(-(clusters.agg(F.sum("n")).first()[0] or 0) * 8 // TILE_BYTES))
-    goal = written(clusters.join(weigh, "root").withColumn("side", F.when(F.col("sides") > 1, F.pmod(F.xxhash64("row"), F.col("sides"))).otherwise(0).cast("int")).select("row", "copies", "root", "side", "sides"))
+    goal = looked_up(looked_up(clusters, weigh, ["root"], "times", total, "row"), heap, ["root", "anchor"], "times", total, "row")
+    side = F.when(F.col("pieces") > 1, F.xxhash64("root", "anchor", F.pmod(F.xxhash64("row"), F.col("pieces")))).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("anchor"), F.col("sides"))))
+    goal = written(goal.withColumn("side", F.when(F.col("sides") > 1, side)).select("row", "copies", "root", "side"))
+    # of a cluster in one tile, the tile is its root; else every pair of sides that share a posting has one, and every side by itself
+    cut = goal.where("side IS NOT NULL").select("row", "side")
+    tiles = None
+    if cut.limit(1).count():
+        tiles = written(tiles_of(written(posted.select("row", "key").join(cut, "row").select("key", "side").distinct())))
     member = sets.where("members is not null").select("row", "members").join(goal, "row")
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    tile = F.struct("root", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    task = F.when(F.col("sides") > 1, F.xxhash64("tile")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets)))
-    member = member.withColumn("tile", tile).select(task.alias("task"), F.xxhash64("tile").alias("tile"), "row", "copies", "side", (F.col("tile.i") != F.col("tile.j")).alias("apart"), "members")
+    whole = member.where("side IS NULL").select(F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("task"), F.xxhash64("root").alias("tile"), "row", "copies", F.lit(0).cast("long").alias("side"), F.lit(False).alias("apart"), "members")
+    member = whole if tiles is None else whole.unionByName(member.where("side IS NOT NULL").join(tiles, "side").select(F.col("tile").alias("task"), "tile", "row", "copies", "side", "apart", "members"))
 
     def link(group: pa.Table) -> pa.Table:
         tiles = np.array(group.column("tile"))
@@ -246,12 +266,13 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
     # a row of a class and itself carries links of the class, in part
     links = written(member.groupBy("task").applyInArrow(link, "a long, b long, links long"))
     roots = components(links)
-    placed = rows.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("component", F.coalesce("root", "class"))
-    if not count_links:
-        return placed.select("row", "doc_id", "n", "class", "component")
-    degree = links.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    return placed.join(degree, "class", "left").select("row", "doc_id", "n", "class", "component", n_links)
+    placed = rows.where("row = class").select("class", "copies").join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
+    if count_links:
+        degree = links.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+        placed = placed.join(degree, "class", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0))).drop("links")
+    placed = placed.withColumn("component", F.coalesce("root", "class")).drop("root").withColumnRenamed("copies", "times")
+    placed = looked_up(rows.select("row", "doc_id", "n", "class"), written(placed), ["class"], "times", total, "row")
+    return placed.select("row", "doc_id", "n", "class", "component", *(["n_links"] if count_links else []))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
@@ -264,9 +285,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "
     an empty result. Members are 64-bit hashes; other columns are not read.
     """
     found = written(classes(docs, k, percent, id_col, text_col, count_links, block_bytes))
-    low = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    # a component is unique in the small side, so a large one can be split over tasks
-    return found.join(low, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if count_links else []))
+    low = found.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("times"))
+    return looked_up(found, low, ["component"], "times", found.count(), "row").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if count_links else []))
 
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

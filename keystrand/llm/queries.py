@@ -27,8 +27,7 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With all links counted; the SQL has no column for their number."""
-    return jaccard.jaccard_join(documents(spark, sf_dir), count_links=True).select("doc_id", "n_shingles", "component_id")
+    return jaccard.jaccard_join(documents(spark, sf_dir), count_links=True)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +123,10 @@ ORACLE = {
         e AS (
             SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
         r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
-        m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
-        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
-        FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.x = d.doc_id""",
+        m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+        l AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, coalesce(l.n_links, 0)::BIGINT AS n_links
+        FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.x = d.doc_id LEFT JOIN l ON l.x = d.doc_id""",
     "op3_topk_search": r"""
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings

@@ -81,6 +81,23 @@ def written(df: DataFrame, folder: str | None = None, block_mb: int | None = Non
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], times: str, total: int, *spread: str) -> DataFrame:
+    """Left join with a table that is unique by ``keys``, without a task that gets all rows of a frequent key.
+
+    ``times`` is the table's column that tells how many of the ``total`` rows
+    have its key. Keys with over a thousandth of them, a thousand keys at most,
+    are broadcast, and their rows are dealt out by ``spread`` instead.
+    """
+    heavy = F.col(times) > max(1000, total // 1000)
+    values = [c for c in table.columns if c not in keys and c != times]
+    hot = table.where(heavy).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in values], F.lit(True).alias("hot_key"))
+    rows = rows.join(F.broadcast(hot), keys, "left")
+    rows = rows.withColumn("hot_salt", F.when(F.col("hot_key"), F.xxhash64(*spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long"))
+    rest = table.where(~heavy).drop(times).withColumn("hot_salt", F.lit(0).cast("long"))
+    rows = rows.join(rest, [*keys, "hot_salt"], "left")
+    return rows.withColumns({c: F.coalesce(f"hot_{c}", c) for c in values}).drop("hot_key", "hot_salt", *[f"hot_{c}" for c in values])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` with underscores in front until ``df`` has no such column (in any case of letters)."""
     taken = {c.lower() for c in df.columns}

@@ -363,6 +363,26 @@ def test_jaccard_links_of_a_chain_and_a_triangle(spark):
     assert got == {0: (0, 2), 1: (0, 3), 2: (0, 1), 3: (0, 2), 4: (4, 2), 5: (4, 2), 6: (4, 2), 7: (7, 0), 8: (8, 0)}
 
 
+def test_boilerplate_cluster_makes_no_tiles_of_strangers(spark, monkeypatch):
+    """Many small groups chained into one cluster by common passages: sides that share no posting do not meet."""
+    import random
+
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 6_000)
+    rng = random.Random(8)
+    texts = []
+    for g in range(40):  # each text shares two thirds of the passage of its group and of the next one's: no links, but postings
+        a, b = ([f"p{h}x{i}" for i in range(60)] for h in (g, g + 1))
+        texts += [" ".join(a[:50] + b[:50]), " ".join(a[:50] + [f"u{rng.random()}" for _ in range(40)]), " ".join(a), " ".join([*a[:58], "y", "z"])]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = [sum(i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_links for r in jaccard.jaccard_join(df, count_links=True).orderBy("doc_id").collect()] == want
+    held = spark.createDataFrame([(k, s) for k in range(99) for s in (k, k + 1)], "key long, side long")  # a chain of 100 sides
+    tiles = jaccard.tiles_of(held).collect()
+    assert len({r.tile for r in tiles if r.apart}) == 99 and len({r.tile for r in tiles if not r.apart}) == 100 == len(tiles) - 2 * 99
+
+
 @pytest.mark.parametrize("tile", [1 << 23, 4_000])
 def test_jaccard_links_equal_brute_force(spark, monkeypatch, tile):
     import random
