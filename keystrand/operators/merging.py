@@ -45,3 +45,35 @@ def merge_groups(df: DataFrame, runs: int, workers: int, run: str = "run_id", na
     """
     each = -(-runs // workers)
     return df.withColumn(name, (F.floor(F.col(run) / each) if runs >= 2 * workers else F.lit(0)).cast("long"))
+
+
+def _within(df: DataFrame, groups: list[str], name: str, *keys: str) -> DataFrame:
+    """Positions from 1 within each group, in one order of all rows: no task need hold a group."""
+    rows = with_position(df, *groups, *keys, name=name)
+    first = rows.groupBy(*groups).agg(F.min(name).alias("_first"))
+    return rows.join(first, groups).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
+
+
+def merge_tree(runs: DataFrame, count: int, key: str, *ties: str, run: str = "run_id") -> DataFrame:
+    """Binary merging of ``count`` runs (0 to count - 1), level by level, as data.
+
+    Returns every level's rows: ``level``, ``merged_run`` (which run of that
+    level a row is in) and its ``position`` there from 1. A level merges runs
+    0 and 1, 2 and 3, ...; an odd last one is carried up as it is. Ties fall to
+    the earlier run, then to ``ties``. Levels are written for inspection: the
+    last one by itself is a k-way merge.
+    """
+    levels = max(0, count - 1).bit_length()
+    rows = runs.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    rows = rows.withColumn("merged_run", F.call_function("shiftright", F.col(run).cast("long"), F.col("level")))
+    return _within(rows, ["level", "merged_run"], "position", key, run, *ties)
+
+
+def grouped_merge(runs: DataFrame, count: int, workers: int, key: str, *ties: str, run: str = "run_id") -> DataFrame:
+    """Merging in two levels: each worker its group of runs, then the groups.
+
+    Returns rows with ``group_id`` and ``group_position`` (their place in what
+    the worker merged) and ``position`` (their place in the end).
+    """
+    rows = _within(merge_groups(runs, count, workers, run), ["group_id"], "group_position", key, run, *ties)
+    return with_position(rows, key, "group_id", "group_position")

@@ -13,6 +13,12 @@ def round_robin(df: DataFrame, workers: int, position: str = "position", name: s
     return df.withColumn(name, F.pmod(F.col(position) - 1, F.lit(workers)).cast("long"))
 
 
+def deal_chunks(df: DataFrame, workers: int, chunk: str = "chunk_id", name: str = "worker") -> DataFrame:
+    """Chunk i to worker i mod (n - 1): one of n hands the chunks out. With one worker it takes all."""
+    return df.withColumn(name, F.pmod(F.col(chunk), F.lit(max(1, workers - 1))).cast("long"))
+
+
+# The shares and bounds below are what budgets must equal.
 def memory_budget(total_bytes: Column, available: int = 8 * GIB, most: int = 32 * GIB, share: int = 10) -> Column:
     """The smallest of a share of the input, the available memory and a fixed bound."""
     return F.least(F.floor(total_bytes / share), F.lit(available), F.lit(most)).cast("long")

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+# What runs must equal.
 #: Shares of the memory budget: a sorted run, and the heap of replacement selection.
 RUN_SHARE = 0.9
 HEAP_SHARE = 0.8
@@ -37,12 +38,13 @@ def _fold(df: DataFrame, size: str, file: str, order: list[str], name: str, cut)
     schema = StructType([*df.schema.fields, StructField(name, LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used, chunk = None, 0, 0
+        current, used, chunk = (), 0, 0
         for batch in batches:
             parts = []
             for key, rows in batch.groupby(file, sort=False, dropna=False):
-                if key != current:
-                    current, used, chunk = key, 0, 0
+                mine = None if pd.isna(key) else key  # rows without a file name are one file
+                if mine != current:
+                    current, used, chunk = mine, 0, 0
                 sizes, ids = rows[size].to_numpy(np.int64), np.empty(len(rows), np.int64)
                 ends, at = np.cumsum(sizes), 0
                 while at < len(ids):
@@ -82,6 +84,12 @@ def budget_runs(df: DataFrame, budget_bytes: int, size: str, file: str, *order:
     return _fold(df, size, file, list(order), name, cut)
 
 
+def sorted_runs(df: DataFrame, budget_bytes: int, key: str, size: str, file: str, *order: str, name: str = "run_id") -> DataFrame:
+    """Load-sort runs: cuts by budget in the order of the file, and each run's rows sorted by key (ties: as they came), with ``run_position`` from 1."""
+    within = Window.partitionBy(file, name).orderBy(key, *order)
+    return budget_runs(df, budget_bytes, size, file, *order, name=name).withColumn("run_position", F.row_number().over(within).cast("long"))
+
+
 def replacement_runs(df: DataFrame, memory_bytes: int, key: str, size: str, *arrival: str, lanes: int = 1) -> DataFrame:
     """Replacement selection: a heap within HEAP_SHARE of memory gives up its smallest keys batch by batch.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,6 +15,16 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``; only a local master may leave that setting out, as tests do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="keystrand-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Once for each application: add the package as a zip file, so that Python workers can import it.
 
