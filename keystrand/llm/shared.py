@@ -93,7 +93,8 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], times: str, to
     hot = table.where(heavy).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in values], F.lit(True).alias("hot_key"))
     rows = rows.join(F.broadcast(hot), keys, "left")
     rows = rows.withColumn("hot_salt", F.when(F.col("hot_key"), F.xxhash64(*spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long"))
-    rest = table.where(~heavy).drop(times).withColumn("hot_salt", F.lit(0).cast("long"))
+    # zero, but no literal: else the planner drops it from the keys that rows are dealt out by
+    rest = table.where(~heavy).drop(times).withColumn("hot_salt", F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")))
     rows = rows.join(rest, [*keys, "hot_salt"], "left")
     return rows.withColumns({c: F.coalesce(f"hot_{c}", c) for c in values}).drop("hot_key", "hot_salt", *[f"hot_{c}" for c in values])
 
