@@ -5,16 +5,14 @@ Orders stand for record files (id, key, size, position), events for logs.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import HEADER_BYTES, TOP_BIT, formatted, key_of, ord_of_bits, record_bytes
 from ..operators import benchlog, merging, partitioning, runs, sorting, verify
 from ..sources.generate import generate_records
-from ..sources.recordfile import register
+from ..shipping import shared_folder
+from ..sources.recordfile import located, export_single, register, size_of, walk
 
 CHUNK = 30_000
 RUN_ROWS = 1_000
@@ -138,8 +136,9 @@ def positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir)
-    return verify.multiset_diff(rows.where("id % 3 = 0").select("k", "sz"), rows.where("id % 3 = 1").select("k", "sz"))
+    """Orders against customers, as (key, size): whole tables."""
+    customers = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.octet_length("c_mktsegment").cast("long") + HEADER_BYTES).alias("sz"))
+    return verify.multiset_diff(_records(spark, sf_dir).select("k", "sz"), customers)
 
 
 def same_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,20 +196,110 @@ def generator_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.min("len").alias("shortest"), F.max("len").alias("longest"), F.sum((F.octet_length("payload") != F.col("len")).cast("long")).alias("wrong"))
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/') if base else tempfile.mkdtemp(prefix='keystrand-')}/{uuid.uuid4().hex}"
-
-
-def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written as a record file in key order, and read again."""
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """Orders as a record file in key order."""
     register(spark)
     orders = _read(spark, sf_dir, "orders")
     rows = orders.select(ord_of_bits(F.col("o_orderkey")).alias("key_ord"), F.col("o_orderpriority").cast("binary").alias("payload"))
-    path = _folder(spark)
+    path = shared_folder(spark)
     rows.orderBy("key_ord").write.format("recordfile").mode("append").save(path)
-    back = spark.read.format("recordfile").option("splitBytes", 1 << 20).load(path)
-    return back.select(key_of(F.col("key_ord")).cast("long").alias("key"), "len", F.col("payload").cast("string").alias("payload"))
+    return path
+
+
+def _back(df: DataFrame) -> DataFrame:
+    return df.select(key_of(F.col("key_ord")).cast("long").alias("key"), "len", F.col("payload").cast("string").alias("payload"))
+
+
+def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as a record file in key order, and read again."""
+    return _back(spark.read.format("recordfile").option("splitBytes", 1 << 20).load(_written(spark, sf_dir)))
+
+
+def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts gathered to one file, which has no index, and read again."""
+    path = _written(spark, sf_dir)
+    export_single(path, f"{path}.dat")
+    return _back(spark.read.format("recordfile").option("splitBytes", 1 << 14).load(f"{path}.dat"))
+
+
+def byte_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records within 30,000 bytes from the hundred-and-first record on."""
+    path = _written(spark, sf_dir)
+    export_single(path, f"{path}.dat")
+    offset = _records(spark, sf_dir).orderBy("id").limit(100).agg(F.sum("sz")).first()[0] or 0
+    return _back(spark.read.format("recordfile").options(offset=offset, maxBytes=CHUNK).load(f"{path}.dat"))
+
+
+def truncated_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that ends three bytes early, without its last record."""
+    path = _written(spark, sf_dir)
+    export_single(path, f"{path}.dat", most=size_of(path) - 3)
+    return _back(spark.read.format("recordfile").option("truncatedTail", "drop").load(f"{path}.dat"))
+
+
+def file_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of a folder, of its gathered file, and of the file that a folder with one part is renamed to."""
+    path = _written(spark, sf_dir)
+    gathered = export_single(path, f"{path}.dat")
+    spark.read.format("recordfile").load(path).select("key_ord", "payload").coalesce(1).write.format("recordfile").mode("overwrite").save(f"{path}-one")  # a rename needs one part
+    renamed = export_single(f"{path}-one", f"{path}-one.dat", move=True)
+    return spark.createDataFrame([(size_of(path), gathered, renamed, size_of(f"{path}-one"))], "folder long, gathered long, renamed long, gone long")
+
+
+def boundary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record-aligned split points of a file without an index."""
+    path = _written(spark, sf_dir)
+    export_single(path, f"{path}.dat")
+    system, file = located(f"{path}.dat")
+    return spark.createDataFrame(list(enumerate(walk(system, file, CHUNK, "raise"))), "cut long, byte long")
+
+
+def sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs within a budget, each in key order."""
+    rows = _file(spark, sf_dir).withColumn("file", F.lit("orders"))
+    return runs.sorted_runs(rows, CHUNK, "k", "sz", "file", "rn").select("id", "k", "run_id", "run_position")
+
+
+def merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All levels of a binary merge, row by row."""
+    rows = _runs(spark, sf_dir).select("id", "k", "run_id")
+    count = -(-_read(spark, sf_dir, "orders").count() // RUN_ROWS)
+    return merging.merge_tree(rows, count, "k", "id").select("level", "merged_run", "position", "id", "k")
+
+
+def grouped_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-level merge by eight workers, row by row."""
+    rows = runs.fixed_runs(_file(spark, sf_dir), 300, "rn").select("id", "k", "run_id")
+    count = -(-_read(spark, sf_dir, "orders").count() // 300)
+    return merging.grouped_merge(rows, count, 8, "k", "id").select("id", "k", "group_id", "group_position", "position")
+
+
+def descending_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a heap of the largest gives up: the order from the top."""
+    return sorting.with_position(_records(spark, sf_dir).select("id", "k"), F.col("k").desc(), F.col("id").desc())
+
+
+def deal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks dealt out in turn to all workers but the one that deals."""
+    rows = runs.fixed_runs(_file(spark, sf_dir), RUN_ROWS, "rn", name="chunk_id")
+    return partitioning.deal_chunks(rows, WORKERS).groupBy("worker", "chunk_id").agg(F.count("*").alias("n"))
+
+
+def log_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pinned, unpinned and blocking runs by series: either kind of blocking is one series."""
+    rows = _read(spark, sf_dir, "events").select(F.col("event_type").alias("algo"), F.pmod("user_id", F.lit(4)).alias("way"), (F.pmod("user_id", F.lit(8)) + 1).alias("workers"), F.round("value", 2).alias("seconds"))
+    name = F.concat(F.lit("sort_"), F.col("algo"), F.element_at(F.array(*[F.lit(x) for x in ("", "_no_mapping", "_blocking", "_no_mapping_blocking")]), (F.col("way") + 1).cast("int")))
+    rows = rows.groupBy(F.col("algo").alias("kind"), name.alias("algo"), "workers").agg(F.max("seconds").alias("seconds"))
+    text = F.format_string("(nthreads=%s, max_mem=1)\n# elapsed time (%s): %ss\n", F.col("workers").cast("string"), F.col("algo"), F.col("seconds").cast("string"))
+    logs = rows.select("kind", text.alias("text")).groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("text")), "").alias("text"))
+    found = benchlog.parse(logs.select(F.concat("kind", F.lit("_mpi_weak.log")).alias("file"), "text"))
+    return found.groupBy("variant", "series").agg(F.count("*").alias("timings"), F.max("seconds").alias("high"))
+
+
+def log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speedups and efficiencies, by event counts, as two blocks of text."""
+    counts = _timings(spark, sf_dir).groupBy("series", "workers").agg(F.count("*").cast("double").alias("speedup"))
+    return benchlog.export_blocks(counts.withColumn("efficiency", F.col("speedup") / F.col("workers")), "events")
 
 
 def replacement_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +318,7 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     total_sort, top_k, tie_rank, unsigned_order, record_format, fixed_runs, greedy_chunks, budget_runs, round_robin, pair_merge, kway_merge, merge_levels, merge_groups,
     violations, is_sorted, positional_diff, multiset_diff, same_multiset, speedup, weak_scaling, best_config, worker_counts, log_export, log_parse, mem_budget, generator_stats, roundtrip, replacement_runs, run_comparison,
+    single_file, byte_range, truncated_tail, file_size, boundary_scan, sorted_runs, merge_tree, grouped_merge, descending_drain, deal_chunks, log_routing, log_blocks,
 )}
 
 _R = "r AS (SELECT o_orderkey AS id, o_custkey AS k, 12 + strlen(o_orderpriority) AS sz, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)"
@@ -295,10 +385,12 @@ ORACLE = {
         SELECT position, a.k AS left_k, a.sz::BIGINT AS left_sz, b.k AS right_k, b.sz::BIGINT AS right_sz
         FROM a FULL JOIN b USING (position) WHERE a.k IS DISTINCT FROM b.k OR a.sz IS DISTINCT FROM b.sz""",
     "multiset_diff": f"""
-        WITH {_R}, a AS (SELECT k, sz::BIGINT AS sz FROM r WHERE id % 3 = 0), b AS (SELECT k, sz::BIGINT AS sz FROM r WHERE id % 3 = 1)
+        WITH {_R}, a AS (SELECT k, sz::BIGINT AS sz FROM r), b AS (SELECT c_custkey AS k, (12 + strlen(c_mktsegment))::BIGINT AS sz FROM customer)
         SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
         UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
-    "same_multiset": "SELECT count(*) AS n, true AS same FROM orders",
+    "same_multiset": f"""
+        WITH {_R}, u AS (SELECT id, k, ((rn - 1) // {RUN_ROWS})::BIGINT AS run_id FROM r), m AS (SELECT * FROM u ORDER BY k, run_id, id)
+        SELECT (SELECT count(*) FROM u) AS n, (SELECT count(*) FROM (SELECT * FROM u EXCEPT ALL SELECT * FROM m)) + (SELECT count(*) FROM (SELECT * FROM m EXCEPT ALL SELECT * FROM u)) = 0 AS same""",
     "speedup": f"""
         WITH {_M}, b AS (SELECT min(mean_s) AS base_s FROM m WHERE workers = 1)
         SELECT series, workers, round(mean_s, 4) AS mean_s, round(base_s / mean_s, 4) AS speedup, round(base_s / mean_s / workers, 4) AS efficiency FROM m, b""",
@@ -322,4 +414,51 @@ ORACLE = {
                least(bytes // 100, floor(least(bytes // 10, 8589934592) * 3 / 8))::BIGINT AS chunk FROM s""",
     "generator_stats": "SELECT count(*) AS n, 8::BIGINT AS shortest, 63::BIGINT AS longest, 0::BIGINT AS wrong FROM orders",
     "roundtrip": "SELECT o_orderkey AS key, strlen(o_orderpriority)::BIGINT AS len, o_orderpriority AS payload FROM orders",
+    "single_file": "SELECT o_orderkey AS key, strlen(o_orderpriority)::BIGINT AS len, o_orderpriority AS payload FROM orders",
+    "truncated_tail": "SELECT o_orderkey AS key, strlen(o_orderpriority)::BIGINT AS len, o_orderpriority AS payload FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) FROM orders)",
+    "byte_range": f"""
+        WITH {_R}, p AS (SELECT id, rn, sum(sz) OVER (ORDER BY rn) AS e FROM r), o AS (SELECT max(e) AS e FROM p WHERE rn <= 100)
+        SELECT o_orderkey AS key, strlen(o_orderpriority)::BIGINT AS len, o_orderpriority AS payload
+        FROM orders JOIN p ON p.id = o_orderkey, o WHERE p.rn > 100 AND p.e <= o.e + {CHUNK}""",
+    "file_size": "SELECT sum(12 + strlen(o_orderpriority))::BIGINT AS folder, sum(12 + strlen(o_orderpriority))::BIGINT AS gathered, sum(12 + strlen(o_orderpriority))::BIGINT AS renamed, 0::BIGINT AS gone FROM orders",
+    "boundary_scan": f"""
+        WITH RECURSIVE {_R},
+        c AS (SELECT sum(sz) OVER (ORDER BY rn) AS e FROM r),
+        t AS (
+            SELECT 0::BIGINT AS cut, 0::HUGEINT AS b
+            UNION ALL
+            SELECT cut + 1, (SELECT coalesce(min(c.e) FILTER (c.e >= t.b + {CHUNK}), max(c.e)) FROM c) FROM t WHERE t.b < (SELECT max(e) FROM c))
+        SELECT cut, b::BIGINT AS byte FROM t""",
+    "sorted_runs": f"""
+        WITH RECURSIVE {_R},
+        c AS (SELECT id, k, rn, sum(sz) OVER (ORDER BY rn) AS e FROM r),
+        t AS (
+            SELECT 0::BIGINT AS run_id, 0::HUGEINT AS s, (SELECT max(e) FROM c WHERE e <= {CHUNK}) AS e
+            UNION ALL
+            SELECT run_id + 1, t.e, (SELECT max(c.e) FROM c WHERE c.e <= t.e + {CHUNK}) FROM t WHERE t.e < (SELECT max(e) FROM c))
+        SELECT c.id, c.k, t.run_id, row_number() OVER (PARTITION BY t.run_id ORDER BY c.k, c.rn) AS run_position
+        FROM t JOIN c ON c.e > t.s AND c.e <= t.e""",
+    "merge_tree": f"""
+        WITH {_R}, u AS (SELECT id, k, ((rn - 1) // {RUN_ROWS})::BIGINT AS run_id FROM r),
+        l AS (SELECT unnest(generate_series(0, ceil(log2(greatest(1, max(run_id) + 1)))::BIGINT)) AS level FROM u)
+        SELECT level::INTEGER AS level, run_id >> level AS merged_run, row_number() OVER (PARTITION BY level, run_id >> level ORDER BY k, run_id, id) AS position, id, k FROM u, l""",
+    "grouped_merge": f"""
+        WITH {_R}, u AS (SELECT id, k, ((rn - 1) // 300)::BIGINT AS run_id FROM r), n AS (SELECT max(run_id) + 1 AS n FROM u),
+        g AS (SELECT *, (CASE WHEN n >= 16 THEN run_id // ceil(n / 8.0)::BIGINT ELSE 0 END)::BIGINT AS group_id FROM u, n)
+        SELECT id, k, group_id, row_number() OVER (PARTITION BY group_id ORDER BY k, run_id, id) AS group_position, row_number() OVER (ORDER BY k, run_id, id) AS position FROM g""",
+    "descending_drain": "SELECT o_orderkey AS id, o_custkey AS k, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey DESC) AS position FROM orders",
+    "deal_chunks": f"""
+        WITH {_R}, u AS (SELECT ((rn - 1) // {RUN_ROWS})::BIGINT AS chunk_id FROM r)
+        SELECT chunk_id % {WORKERS - 1} AS worker, chunk_id, count(*) AS n FROM u GROUP BY chunk_id""",
+    "log_routing": """
+        WITH t AS (SELECT event_type AS e, user_id % 4 AS way, user_id % 8 + 1 AS workers, max(round(value, 2)) AS s FROM events GROUP BY 1, 2, 3)
+        SELECT 'weak' AS variant, 'sort_' || e || CASE WHEN way = 0 THEN '' WHEN way = 1 THEN '_no_mapping' ELSE '_blocking' END AS series, count(*) AS timings, max(s) AS high FROM t GROUP BY 2""",
+    "log_blocks": """
+        WITH c AS (SELECT event_type AS series, user_id % 8 + 1 AS w, count(*) AS n FROM events GROUP BY 1, 2),
+        v AS (SELECT series, w, printf('%.2f', n::DOUBLE) AS speed, printf('%.2f', round(n / w, 2)) AS eff FROM c),
+        l AS (SELECT series, '  ' || series || ': (' || string_agg(speed, ', ' ORDER BY w) || '),' AS speed, '  ' || series || ': (' || string_agg(eff, ', ' ORDER BY w) || '),' AS eff FROM v GROUP BY series),
+        t AS (SELECT string_agg(w, ', ' ORDER BY w) AS threads FROM (SELECT DISTINCT w FROM c))
+        SELECT 'speed' AS block, '#let events_speed = (' || chr(10) || '  threads: (' || threads || '),' || chr(10) || (SELECT string_agg(speed, chr(10) ORDER BY speed) FROM l) || chr(10) || ')' AS text FROM t
+        UNION ALL
+        SELECT 'eff', '#let events_eff = (' || chr(10) || '  threads: (' || threads || '),' || chr(10) || (SELECT string_agg(eff, chr(10) ORDER BY eff) FROM l) || chr(10) || ')' FROM t""",
 }

@@ -22,6 +22,7 @@ at this record-aligned byte, and stop before the record that would exceed so man
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ MANIFEST = "_manifest"
 _LENGTH = struct.Struct("<I").unpack_from
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
@@ -127,8 +128,8 @@ def encode(key_ord: pa.Array, payload: pa.Array) -> tuple[np.ndarray, np.ndarray
 def part_number(path: str) -> tuple[int, str]:
     """Parts stand in the order of their numbers, whatever the width of these."""
     name = path.rsplit("/", 1)[-1]
-    number = name.split("-")[1] if name.startswith("part-") and name.count("-") else ""
-    return (int(number), name) if number.isdigit() else (-1, name)
+    number = re.match(r"part-(\d+)", name)
+    return int(number[1]) if number else -1, name
 
 
 def parts_of(system: fs.FileSystem, folder: str) -> list[str]:
@@ -155,7 +156,7 @@ class RecordReader(DataSourceReader):
         self.offset, self.most = int(options.get("offset", 0)), int(options["maxbytes"]) if "maxbytes" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        system, path = _open(self.path)
+        system, path = located(self.path)
         info = system.get_file_info(path)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
@@ -184,7 +185,7 @@ class RecordReader(DataSourceReader):
     def read(self, partition: Span | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark asks for when there are no partitions
             return
-        system, _ = _open(self.path)
+        system, _ = located(self.path)
         with system.open_input_file(partition.path) as f:
             at = partition.start
             while at < partition.end:
@@ -220,7 +221,7 @@ class RecordWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        system, path = _open(self.path)
+        system, path = located(self.path)
         system.create_dir(f"{path}/{self.stage}", recursive=True)
         name, at, cuts, step = f"part-{TaskContext.get().partitionId():010d}-{uuid.uuid4().hex}.rec", 0, [0], min(self.split, 1 << 20)
         with system.open_output_stream(f"{path}/{self.stage}/{name}") as f:
@@ -238,7 +239,7 @@ class RecordWriter(DataSourceArrowWriter):
         return Written([name])
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, path = _open(self.path)
+        system, path = located(self.path)
         system.create_dir(path, recursive=True)
         names = [n for m in messages if m for n in m.files]
         old = [x.rsplit("/", 1)[-1] for x in parts_of(system, path)]
@@ -256,7 +257,7 @@ class RecordWriter(DataSourceArrowWriter):
         self._sweep(system, path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._sweep(*_open(self.path))
+        self._sweep(*located(self.path))
 
     def _sweep(self, system: fs.FileSystem, path: str) -> None:
         if system.get_file_info(f"{path}/{self.stage}").type == fs.FileType.Directory:
@@ -280,7 +281,7 @@ class RecordFile(DataSource):
 
 def size_of(path: str) -> int:
     """Bytes of a record file, or of the part files in a folder; 0 if there is none."""
-    system, at = _open(path)
+    system, at = located(path)
     info = system.get_file_info(at)
     if info.type == fs.FileType.Directory:
         return sum(x.size for x in system.get_file_info(parts_of(system, at)))
@@ -289,7 +290,7 @@ def size_of(path: str) -> int:
 
 def remove(path: str) -> None:
     """Delete a record file or folder, if there is one."""
-    system, at = _open(path)
+    system, at = located(path)
     kind = system.get_file_info(at).type
     if kind == fs.FileType.Directory:
         system.delete_dir(at)
@@ -309,8 +310,8 @@ def export_single(path: str, target: str, move: bool = False, most: int | None =
 
     With ``move`` a folder's only part is renamed instead, and the folder goes.
     """
-    system, folder = _open(path)
-    out_system, out = _open(target)
+    system, folder = located(path)
+    out_system, out = located(target)
     parts = parts_of(system, folder)
     if move and len(parts) == 1 and most is None and type(system) is type(out_system):
         system.move(parts[0], out)

@@ -24,6 +24,25 @@ def test_generate_sort_check_diff(here, tmp_path, capsys):
     assert cli.main(["diff", out, path]) == 1
     assert cli.main(["runs", "-m", "2000", path]) == 0
     assert "replacement_selection" in capsys.readouterr().out
+    for way in ([], ["-k"]):
+        assert cli.main(["merge", *way, "-m", "2000", "-o", f"{out}.merged", path]) == 0
+        assert cli.main(["check", f"{out}.merged"]) == 0
+        assert cli.main(["runs", "-m", "10000000", f"{out}.merged"]) == 0
+
+
+def test_sweeps(monkeypatch, tmp_path, capsys):
+    calls = []
+
+    class Done:
+        stdout = "x\n# elapsed time (keystrand): 1.000s\n"
+
+    monkeypatch.setattr(cli.subprocess, "run", lambda args, **_: (calls.append(args[3:]), Done())[1])
+    assert cli.main(["sweep", "--threads", "1,3", "-d", "2", str(tmp_path / "in")]) == 0
+    assert [c[0] for c in calls] == ["sort"] * 4
+    assert capsys.readouterr().out.count("# elapsed time") == 4
+    calls.clear()
+    assert cli.main(["sweep", "--weak", "-s", "100", "--threads", "2,4", "-d", "1", str(tmp_path / "in")]) == 0
+    assert [(c[0], c[2]) for c in calls if c[0] == "gen"] == [("gen", "200"), ("gen", "400")] and "(nnodes=4, filesize=0, nthreads=4" in capsys.readouterr().out
 
 
 def test_logs(here, tmp_path, capsys):

@@ -98,6 +98,49 @@ def test_cuts_do_not_depend_on_batches(spark):
     assert [got["g", i] for i in range(100)] == budget([7] * 100, 500)
 
 
+def test_rows_without_a_file_name_are_one_file(spark):
+    df = frame(spark, [(None, i, 10) for i in range(200)], "file string, rn int, sz int")
+    for batch in (10_000, 16):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {r.rn: r.run_id for r in runs.budget_runs(df, 50, "sz", "file", "rn").collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {i: i // 5 for i in range(200)}
+
+
+def test_sorted_runs(spark):
+    rng = random.Random(5)
+    rows = [("f", i, rng.randrange(1, 40), rng.randrange(20)) for i in range(300)]
+    got = runs.sorted_runs(frame(spark, rows, "file string, rn int, sz int, k int"), 200, "k", "sz", "file", "rn").collect()
+    cut = budget([r[2] for r in rows], 200)
+    for run in set(cut):
+        mine = sorted(((r[3], r[1]) for r, c in zip(rows, cut, strict=True) if c == run))
+        assert [(r.k, r.rn) for r in sorted((x for x in got if x.run_id == run), key=lambda r: r.run_position)] == mine
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 16])
+def test_merge_tree_and_grouped_merge(spark, n):
+    """Level by level against merging by hand; in the end both are the k-way merge."""
+    rng = random.Random(n)
+    rows = [(rng.randrange(9), i, i % n) for i in range(n * 6)]
+    df = frame(spark, rows, "k int, id int, run_id long")
+    level = [sorted((k, r, i) for k, i, r in rows if r == x) for x in range(n)]
+    want, depth = {}, 0
+    while True:
+        want |= {(depth, x, p): i for x, run in enumerate(level) for p, (_, _, i) in enumerate(run, 1)}
+        if len(level) == 1:
+            break
+        level = [sorted(level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        depth += 1
+    assert {(r.level, r.merged_run, r.position): r.id for r in merging.merge_tree(df, n, "k", "id").collect()} == want
+    got = merging.grouped_merge(df, n, 4, "k", "id").collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.position)] == [i for _, _, i in level[0]]
+    for g in {r.group_id for r in got}:
+        mine = sorted((r for r in got if r.group_id == g), key=lambda r: r.group_position)
+        assert [(r.k, r.run_id, r.id) for r in mine] == sorted((r.k, r.run_id, r.id) for r in mine) and [r.group_position for r in mine] == list(range(1, len(mine) + 1))
+
+
 @pytest.mark.parametrize("keys", [[], [5], list(range(300)), list(range(300, 0, -1)), [random.Random(3).randrange(1000) for _ in range(2000)], [4] * 100])
 def test_replacement_runs(spark, keys):
     df = frame(spark, [(k, 10, i) for i, k in enumerate(keys)], "k int, sz int, rn int")
@@ -135,6 +178,8 @@ def test_merge_levels_and_groups(spark):
 
 
 def test_round_robin_and_budgets(spark):
+    chunks = spark.range(9).withColumnRenamed("id", "chunk_id")
+    assert {r.chunk_id: r.worker for r in partitioning.deal_chunks(chunks, 4).collect()} == {i: i % 3 for i in range(9)}
     df = spark.range(1, 11).withColumnRenamed("id", "position")
     assert {r.position: r.worker for r in partitioning.round_robin(df, 4).collect()} == {i: (i - 1) % 4 for i in range(1, 11)}
     row = spark.range(1).select(partitioning.memory_budget(F.lit(100)).alias("b"), partitioning.memory_cap(F.lit(1000), F.lit(100)).alias("c"), partitioning.chunk_bytes(F.lit(1000), F.lit(16), 8).alias("k")).first()
@@ -170,6 +215,7 @@ LOG = """###
 (nthreads=2, max_mem=10)
 # elapsed time (sort_tasks): 2.0s
 # elapsed time (sort_farm_blocking): 1e0s
+# elapsed time (sort_farm_no_mapping_blocking): 3.0s
 """
 
 
@@ -180,11 +226,16 @@ def test_log_analytics(spark, tmp_path):
     got = {(r.variant, r.series, r.nthreads, r.nnodes, r.filesize, r.seconds) for r in rows.collect()}
     assert got == {
         ("base", "binary", None, None, None, 4.0), ("base", "binary", None, None, None, 6.0), ("base", "kway", None, None, None, 4.0),
-        ("base", "sort_tasks", 2, None, None, 2.0), ("base", "sort_farm", 2, None, None, 1.0), ("weak", "sort_ranks", 4, 3, 99, 8.0),
+        ("base", "sort_tasks", 2, None, None, 2.0), ("base", "sort_farm_blocking", 2, None, None, 1.0), ("base", "sort_farm_blocking", 2, None, None, 3.0), ("weak", "sort_ranks", 4, 3, 99, 8.0),
     }
     base = benchlog.baseline(rows)
     assert base.first().base_s == 4.0
     mean = benchlog.means(rows.where("nthreads = 2"), "series", F.col("nthreads").alias("workers"))
-    assert {(r.series, r.speedup, r.efficiency) for r in benchlog.speedup(mean, base).collect()} == {("sort_tasks", 2.0, 1.0), ("sort_farm", 4.0, 2.0)}
+    assert {(r.series, r.speedup, r.efficiency) for r in benchlog.speedup(mean, base).collect()} == {("sort_tasks", 2.0, 1.0), ("sort_farm_blocking", 2.0, 1.0)}
     text = {r.text for r in benchlog.export(benchlog.speedup(mean, base), "speedup", "speedup").collect()}
     assert "#let speedup_sort_tasks = ((2, 2.00))" in text
+    blocks = {r.block: r.text for r in benchlog.export_blocks(benchlog.speedup(mean, base), "run").collect()}
+    assert blocks["speed"] == "#let run_speed = (\n  threads: (2),\n  sort_farm_blocking: (2.00),\n  sort_tasks: (2.00),\n)" and "run_eff" in blocks["eff"]
+    with pytest.warns(UserWarning, match="a_mpi_strong.log"):
+        variants = benchlog.parse(benchlog.read_variants(spark, str(tmp_path / "a.log")))
+    assert {r.variant for r in variants.collect()} == {"base", "weak"}

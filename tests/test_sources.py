@@ -121,3 +121,36 @@ def test_byte_range(records, tmp_path):
     remove(str(path))
     remove(str(path))
     assert not path.exists()
+
+
+def test_many_files_are_walked_as_they_are_read(records, tmp_path):
+    data = [(i, bytes(i % 40)) for i in range(400)]
+    for k in range(20):
+        (tmp_path / f"part-{k}.rec").write_bytes(pack(data[k * 20 : k * 20 + 20]))
+    assert content(records(tmp_path)) == sorted((k, len(p), p) for k, p in data)
+    assert [r.key_ord for r in records(tmp_path).collect()] == [k - (1 << 63) for k, _ in data]  # parts in the order of their numbers
+    (tmp_path / "part-20.rec").write_bytes(pack([(1, b"abcd")])[:-1])
+    with pytest.raises(Exception, match="cut off"):
+        records(tmp_path).collect()
+    assert len(content(records(tmp_path, truncatedTail="drop"))) == 400
+
+
+def test_manifest_tells_what_counts(spark, records, tmp_path):
+    """Parts that no commit has named, and files that a lost task left, are not read; an overwrite leaves the new parts only."""
+    rows = generate_records(spark, 30).select("key_ord", "payload")
+    path = tmp_path / "out"
+    rows.write.format("recordfile").mode("append").save(str(path))
+    (path / "part-0000000099-lost.rec").write_bytes(pack([(1, b"lost")]))
+    assert records(path).count() == 30
+    rows.limit(7).write.format("recordfile").mode("overwrite").save(str(path))
+    assert records(path).count() == 7
+    assert not [x for x in path.iterdir() if x.name.startswith("_temporary")]
+    assert size_of(str(path)) == sum(r.len + 12 for r in records(path).collect())
+
+
+def test_single_part_is_renamed(spark, records, tmp_path):
+    rows = generate_records(spark, 9).select("key_ord", "payload").coalesce(1)
+    rows.write.format("recordfile").mode("append").save(str(tmp_path / "out"))
+    size = export_single(str(tmp_path / "out"), str(tmp_path / "out.dat"), move=True)
+    assert not (tmp_path / "out").exists() and (tmp_path / "out.dat").stat().st_size == size
+    assert records(tmp_path / "out.dat").count() == 9
