@@ -32,7 +32,7 @@ from . import blocks as B
 from .shared import written
 
 CODED = "block long, ids array<long>, counts array<long>, n long, digest long, codes binary, rank binary"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 _ranks: dict[int, dict[bytes, int]] = {}
 
 
@@ -249,6 +249,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for code in asked:
             sizes = B.squeeze(lens[code])
             blobs.append(struct.pack("<qq", len(code), len(sizes)) + sizes + B.squeeze(flat[_spread(heads[code], lens[code].astype(np.int64))]))
+        del known, coded, asked, flat, lens, heads
         B.trim()
         return pa.table({"block": group.column("block"), "part": group.column("part"), "digest": group.column("digest"), "answer": pa.array(blobs, pa.binary())})
 
