@@ -156,6 +156,32 @@ def test_replacement_runs(spark, keys):
         assert len(by_run) < len(keys) * 10 / 800
 
 
+@pytest.mark.parametrize("n,memory", [(0, 500), (1, 5), (300, 500), (1200, 700)])
+def test_replacement_runs_equal_selection_by_hand(spark, n, memory):
+    """Against a list that is searched for its smallest row each time; sizes differ, some are above the memory."""
+    rng = random.Random(n)
+    rows = [(rng.randrange(-50, 50), rng.choice([5, 12, 40, 900 if i % 97 == 0 else 20]), i) for i in range(n)]
+    got = runs.replacement_runs(frame(spark, rows, "k int, sz int, rn int"), memory, "k", "sz", "rn").collect()
+    waiting: list = []
+    want, run, last = [], 0, None
+
+    def give(times):
+        nonlocal run, last
+        for _ in range(times):
+            least = min(waiting)
+            waiting.remove(least)
+            last = None if least[0] != run else last
+            run, last = least[0], least[1]
+            want.append((least[2], run, 1 + sum(r == run for _, r, _ in want)))
+
+    for k, size, i in rows:
+        while waiting and sum(rows[j][1] for _, _, j in waiting) + size > int(memory * 0.8):
+            give(max(1, len(waiting) // 20))
+        waiting.append((run + (last is not None and k < last), k, i))
+    give(len(waiting))
+    assert sorted((r.rn, r.run_id, r.run_position) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 8, 50])
 def test_merge_shapes_agree(spark, n):
     rows = [(random.Random(i).randrange(9), i, i % max(1, n)) for i in range(n * 7)]
