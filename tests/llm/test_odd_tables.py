@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeats, ties, clashing columns and empty tables, against brute force."""
 
 import hashlib
+import heapq
 import re
 import struct
 import zlib
@@ -85,6 +86,36 @@ def test_lpt_is_near_even():
     assert max(loads) - min(loads) <= min(s for _, s in sizes) + 10
 
 
+def test_sharding_equals_serial_lpt(spark):
+    """Groups above the limit, of unlike sizes, against a heap over all of them."""
+    rows = [(10 * g + j, f"{g} " + "x" * (3 * g)) for g in range(40) for j in range(1 + g % 3)] + [(1000, None), (1001, "")]
+    groups: dict = {}
+    for _, t in rows:
+        groups[t or ""] = groups.get(t or "", 0) + len(t or "") + 8
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=5, heavy=10_000).collect()
+    loads: dict = {}
+    for r in got:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    heap, serial = [(0, k) for k in range(5)], [0] * 5
+    for n in sorted(groups.values(), reverse=True):
+        load, k = heapq.heappop(heap)
+        serial[k] += n
+        heapq.heappush(heap, (load + n, k))
+    assert sorted(loads.values()) == sorted(serial)
+
+
+def test_sharding_of_cells_is_even(spark):
+    """With small groups in cells, no two shards differ by more than the largest item; one hot text is not spread over shards."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    rows = sharding.shard(docs, shards=4, heavy=50, cells=256).collect()
+    loads = [sum(r.size for r in rows if r.shard == k) for k in range(4)]
+    hot = {r.shard for r in rows if r.doc_id % 3 == 0}
+    assert len(rows) == 6000 and len(hot) == 1
+    rest = [n for k, n in enumerate(loads) if k not in hot]
+    item = max(r[0] for r in docs.where("doc_id % 3 != 0").groupBy(F.pmod(F.xxhash64("text"), F.lit(256)).alias("c")).agg(F.sum(F.length("text") + 8)).select("sum((length(text) + 8))").collect())
+    assert max(rest) - min(rest) <= item
+
+
 def dedup_by_hand(rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups: dict = {}
