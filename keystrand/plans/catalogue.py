@@ -17,6 +17,7 @@ from ..sources.recordfile import located, export_single, register, size_of, walk
 CHUNK = 30_000
 RUN_ROWS = 1_000
 WORKERS = 7
+HEAP_BYTES = 8 << 10
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -304,14 +305,14 @@ def log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replacement_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs by replacement selection within 8 KB: all in order, and fewer than sorted chunks of that size would be."""
-    return runs.replacement_runs(_file(spark, sf_dir), 8 << 10, "k", "sz", "rn")
+    return runs.replacement_runs(_file(spark, sf_dir), HEAP_BYTES, "k", "sz", "rn")
 
 
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load-sort runs against replacement selection, both within 8 KB."""
     rows = _file(spark, sf_dir).withColumn("file", F.lit("orders"))
-    plain = runs.budget_runs(rows, int((8 << 10) * runs.RUN_SHARE), "sz", "file", "rn").agg(F.countDistinct("run_id").alias("load_sort"))
-    heap = runs.replacement_runs(rows, 8 << 10, "k", "sz", "rn").agg(F.countDistinct("run_id").alias("replacement"))
+    plain = runs.budget_runs(rows, int(HEAP_BYTES * runs.RUN_SHARE), "sz", "file", "rn").agg(F.countDistinct("run_id").alias("load_sort"))
+    heap = runs.replacement_runs(rows, HEAP_BYTES, "k", "sz", "rn").agg(F.countDistinct("run_id").alias("replacement"))
     return plain.join(F.broadcast(heap)).select("load_sort", "replacement", (F.col("replacement") < F.col("load_sort")).alias("fewer"))
 
 
@@ -322,6 +323,21 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _R = "r AS (SELECT o_orderkey AS id, o_custkey AS k, 12 + strlen(o_orderpriority) AS sz, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)"
+_ROOM = int(HEAP_BYTES * runs.HEAP_SHARE)
+# replacement selection: each step gives up a batch of the heap (gone) and takes in the next records (came) while they fit
+_H = f"""{_R},
+        a AS (SELECT list({{'run': 0::BIGINT, 'k': k::BIGINT, 'rn': rn::BIGINT, 'id': id::BIGINT, 'sz': sz::BIGINT, 'e': e::BIGINT}} ORDER BY rn) AS w, count(*) AS n FROM (SELECT *, sum(sz) OVER (ORDER BY rn) AS e FROM r)),
+        h AS (
+            SELECT list_sort(list_filter(w, lambda x: x.e <= {_ROOM})) AS heap, w[1:0] AS gone, len(list_filter(w, lambda x: x.e <= {_ROOM})) AS seen FROM a
+            UNION ALL
+            SELECT list_sort(list_concat(rest, list_transform(came, lambda x: {{'run': run + (x.k < low)::BIGINT, 'k': x.k, 'rn': x.rn, 'id': x.id, 'sz': x.sz, 'e': x.e}}))), gone, seen + len(came)
+            FROM (
+                SELECT *, list_filter(w[seen + 1 : seen + {_ROOM // HEADER_BYTES + 1}], lambda x: x.e - before + held <= {_ROOM}) AS came
+                FROM (
+                    SELECT w, seen, heap[: give] AS gone, heap[give + 1 :] AS rest, heap[give].run AS run, heap[give].k AS low, coalesce(w[seen].e, 0) AS before,
+                           coalesce(list_sum(list_transform(heap[give + 1 :], lambda x: x.sz)), 0)::BIGINT AS held
+                    FROM (SELECT h.*, a.w, CASE WHEN seen = n THEN len(heap) ELSE greatest(1, len(heap) // {runs.BATCH_PART}) END AS give FROM h, a WHERE len(heap) > 0)))),
+        x AS (SELECT unnest(gone) AS x FROM h)"""
 _M = "m AS (SELECT event_type AS series, user_id % 8 + 1 AS workers, avg(value) AS mean_s FROM events GROUP BY 1, 2)"
 
 ORACLE = {
@@ -429,6 +445,17 @@ ORACLE = {
             UNION ALL
             SELECT cut + 1, (SELECT coalesce(min(c.e) FILTER (c.e >= t.b + {CHUNK}), max(c.e)) FROM c) FROM t WHERE t.b < (SELECT max(e) FROM c))
         SELECT cut, b::BIGINT AS byte FROM t""",
+    "replacement_runs": f"""
+        WITH RECURSIVE {_H}
+        SELECT x.id AS id, x.k AS k, x.sz AS sz, x.rn AS rn, 0 AS lane, x.run AS run_id, row_number() OVER (PARTITION BY x.run ORDER BY x.k, x.rn) AS run_position FROM x""",
+    "run_comparison": f"""
+        WITH RECURSIVE {_H},
+        c AS (SELECT sum(sz) OVER (ORDER BY rn) AS e FROM r),
+        t AS (
+            SELECT 1::BIGINT AS run, (SELECT max(e) FROM c WHERE e <= {int(HEAP_BYTES * runs.RUN_SHARE)}) AS e
+            UNION ALL
+            SELECT run + 1, (SELECT max(c.e) FROM c WHERE c.e <= t.e + {int(HEAP_BYTES * runs.RUN_SHARE)}) FROM t WHERE t.e < (SELECT max(e) FROM c))
+        SELECT load_sort, replacement, replacement < load_sort AS fewer FROM (SELECT (SELECT max(run) FROM t) AS load_sort, (SELECT count(DISTINCT x.run) FROM x) AS replacement)""",
     "sorted_runs": f"""
         WITH RECURSIVE {_R},
         c AS (SELECT id, k, rn, sum(sz) OVER (ORDER BY rn) AS e FROM r),
