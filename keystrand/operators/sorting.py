@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Key = str | Column
+#: ``monotonically_increasing_id`` has the partition above these bits, the row within it in them.
+ROW_BITS = 33
 
 
 def total_sort(df: DataFrame, *keys: Key) -> DataFrame:
@@ -28,15 +30,17 @@ def with_position(df: DataFrame, *keys: Key, name: str = "position") -> DataFram
     """Number rows from 1 in the order of ``keys``, without one task that sees all rows.
 
     The keys must order the rows totally: then the sampled bounds of the ranges
-    do not matter. Rows are numbered within their range and shifted by the sizes
-    of the ranges before it; there are as many ranges as shuffle partitions.
+    do not matter. Rows move and are sorted once, by the total sort; a row's
+    place in its range is shifted by the sizes of the ranges before it. The
+    sorted rows are kept (in memory, else on disk), as they are read twice.
     """
-    rows = ranged(df, *keys)
+    rows = total_sort(df, *keys).withColumn("_row", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.withColumn("_range", F.shiftright("_row", ROW_BITS))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
     offsets = F.broadcast(sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))  # one row a range
-    within = Window.partitionBy("_range").orderBy(*keys)
-    return rows.join(offsets, "_range").withColumn(name, F.row_number().over(within) + F.col("_offset")).drop("_range", "_offset")
+    place = F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + F.col("_offset") + 1
+    return rows.join(offsets, "_range").withColumn(name, place).drop("_range", "_offset", "_row")
 
 
 def with_previous(df: DataFrame, value: str, *keys: Key, name: str = "previous") -> DataFrame:
