@@ -17,11 +17,15 @@ weight of a new table), from which it is drawn directly; for words with over
 its saddle point. Draws are seeded by sweep and owner, so a lost task repeats
 the same ones. Predictive probabilities are averaged over the sweeps after
 burn-in.
+
+A task holds what an owner is asked about packed. It is unpacked request by
+request, again for the answers; pairs are merged by ranges of about ``PIECE``.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,6 +41,8 @@ from . import blocks as B
 from .shared import remove_folder, shared_folder, written
 
 BLOCK_BYTES = 8 << 20
+#: Pairs of an owner that are merged at once.
+PIECE = 1 << 18
 STIRLING = 64
 STRENGTH = 1.0
 END = np.uint64(0xA0761D6478BD642F)  # stands for the end of a text, and as a context for the start of the next
@@ -93,20 +99,38 @@ def _packed(pairs: Pairs, count: np.ndarray, at: np.ndarray, a: int, z: int) ->
 
 
 class Asked(NamedTuple):
-    """All pairs that an owner is asked about, request by request: pairs of each word, context, count; and the contexts' hashes, sorted."""
+    """All pairs that an owner is asked about, request by request, packed; and their contexts' hashes, sorted."""
 
-    of_word: list[np.ndarray]
-    context: list[np.ndarray]
-    count: list[np.ndarray]
+    extras: list
     contexts: np.ndarray
 
+    def pairs(self) -> int:
+        return sum(_lengths(x)[3] for x in self.extras)
+
+    def requests(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of each word; context and count of each pair. By word and context, pairs of a request are sorted."""
+        for x in self.extras:
+            of_word, hashes, place, count = _arrays(x, np.uint32, np.uint64, np.uint32, np.uint32)
+            yield of_word, np.searchsorted(self.contexts, np.cumsum(hashes, dtype=np.uint64))[place], count
+
 
-def unpacked(extras: list[bytes]) -> Asked:
-    sent = [_arrays(x, np.uint32, np.uint64, np.uint32, np.uint32) for x in extras]
-    hashes = [np.cumsum(x[1], dtype=np.uint64) for x in sent]
-    contexts = np.unique(np.concatenate(hashes))
-    context = [np.searchsorted(contexts, h)[x[2]] for h, x in zip(hashes, sent, strict=True)]
-    return Asked([x[0] for x in sent], context, [x[3] for x in sent], contexts)
+def _union(sets: list[np.ndarray]) -> np.ndarray:
+    """Distinct ones, sorted; np.unique would hash them, which takes more time and memory."""
+    x = np.concatenate(sets)
+    x.sort()
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def unpacked(extras: list) -> Asked:
+    contexts, more, n = np.zeros(0, np.uint64), [], 0
+    for x in extras:
+        more.append(np.cumsum(_arrays(x, None, np.uint64, None, None)[1], dtype=np.uint64))
+        n += len(more[-1])
+        if n > max(PIECE, len(contexts)):
+            contexts, more, n = _union([contexts, *more]), [], 0
+    return Asked(extras, _union([contexts, *more]))
 
 
 def _blobs(*arrays: np.ndarray) -> bytes:
@@ -114,11 +138,17 @@ def _blobs(*arrays: np.ndarray) -> bytes:
     return struct.pack(f"<{2 * len(arrays)}q", *(y for x, p in zip(arrays, packed, strict=True) for y in (len(x), len(p)))) + b"".join(packed)
 
 
-def _arrays(blob: bytes, *kinds) -> list[np.ndarray]:
+def _lengths(blob) -> tuple:
+    """Of the four arrays that come with the words of a request."""
+    return struct.unpack_from("<8q", blob)[::2]
+
+
+def _arrays(blob, *kinds) -> list[np.ndarray | None]:
+    """The packed arrays; those of no kind are left out."""
     head = struct.unpack_from(f"<{2 * len(kinds)}q", blob)
     at, out = 16 * len(kinds), []
     for kind, n, size in zip(kinds, head[::2], head[1::2], strict=True):
-        out.append(B.stretch(blob[at : at + size], n, kind))
+        out.append(None if kind is None else B.stretch(blob[at : at + size], n, kind))
         at += size
     return out
 
@@ -136,15 +166,34 @@ class Owned(NamedTuple):
     contexts: np.ndarray = np.zeros(0, np.uint64)
 
 
-def merged(part: int, keys: np.ndarray, asked: Asked, bounds: np.ndarray) -> Owned:
+def merged(part: int, keys: np.ndarray, asked: Asked, bounds: np.ndarray, piece: int = PIECE) -> Owned:
     word_keys, code = np.unique(keys, return_inverse=True)
     width = len(asked.contexts)
-    pair = np.concatenate([np.repeat(code[a:z], n) * width + c for n, c, a, z in zip(asked.of_word, asked.context, bounds[:-1], bounds[1:], strict=True)])
-    pairs, place = np.unique(pair, return_inverse=True)
-    count = np.bincount(place, weights=np.concatenate(asked.count), minlength=len(pairs)).astype(np.int64)
-    pairs, count = pairs[count > 0], count[count > 0]
-    known, word = np.unique(pairs // width, return_inverse=True)
-    return Owned(part, word_keys[known], word, pairs % width, count, asked.contexts)
+    most, ends = asked.pairs(), [0]
+    ids, counts = np.empty(most, np.int64), np.empty(most, np.uint32)  # of pairs with counts; sorted in each request
+    for (of_word, context, count), a, z in zip(asked.requests(), bounds[:-1], bounds[1:], strict=True):
+        used = np.flatnonzero(count)
+        ends.append(ends[-1] + len(used))
+        ids[ends[-2] : ends[-1]] = (np.repeat(code[a:z], of_word) * width + context)[used]
+        counts[ends[-2] : ends[-1]] = count[used]
+    ids = ids[: ends[-1]]
+    ranges = max(1, math.ceil(len(ids) / piece))
+    sample = np.sort(ids[:: max(1, piece >> 10)])
+    cuts = sample[np.arange(1, ranges) * len(sample) // ranges]
+    at = [a + np.concatenate(([0], np.searchsorted(ids[a:z], cuts), [z - a])) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+    pairs, sums = [], []
+    for r in range(ranges):
+        found = np.concatenate([ids[x[r] : x[r + 1]] for x in at])
+        order, heads = B.distinct(found)
+        count = np.concatenate([counts[x[r] : x[r + 1]] for x in at]).astype(np.int64)[order]
+        pairs.append(found[order[heads]])
+        sums.append(np.add.reduceat(count, heads) if len(heads) else count)
+    del ids, counts
+    pairs, count = np.concatenate(pairs), np.concatenate(sums)
+    of, context = pairs // width, pairs % width
+    new = np.ones(len(of), bool)
+    new[1:] = of[1:] != of[:-1]
+    return Owned(part, word_keys[of[new]], np.cumsum(new) - 1, context, count, asked.contexts)
 
 
 def summed(g: B.Gathered) -> list[bytes]:
@@ -186,7 +235,7 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, table: np.n
     order = small[np.argsort(customers[small], kind="stable")]
     heads = np.searchsorted(customers[order], np.arange(2, STIRLING + 2))
     for n, a, z in zip(range(2, STIRLING + 1), heads[:-1], heads[1:], strict=True):
-        for at in np.array_split(order[a:z], max(1, (z - a) * n >> 20)):
+        for at in np.array_split(order[a:z], max(1, (z - a) * n >> 17)):
             if len(at):
                 law = table[n, 1 : n + 1] + np.log(weight[at])[:, None] * np.arange(1, n + 1)
                 law = np.cumsum(np.exp(law - law.max(axis=1, keepdims=True)), axis=1)
@@ -226,6 +275,41 @@ def sweeps(own: Owned, history: list[Totals], seed: int) -> Iterator[tuple[np.nd
         yield tables, served, at_parent
 
 
+class Sample(NamedTuple):
+    """Seats after a sweep and the totals of these very seats, so that the probabilities of all words add up to one."""
+
+    totals: Totals
+    tables: np.ndarray
+    served: np.ndarray
+    at_parent: np.ndarray
+
+
+def answers_of(own: Owned, keys: np.ndarray, asked: Asked, bounds: np.ndarray, kept: list[Sample]) -> Iterator[bytes]:
+    """For each request: its words' training counts, and log10 of the mean probability of each pair that it asks about."""
+    width, none = len(own.contexts), np.zeros(0, np.int64)
+    pair_id = own.word * width + own.context
+    total = np.bincount(own.word, weights=own.count, minlength=len(own.keys)).astype(np.uint32)
+    for (of_word, context, _), a, z in zip(asked.requests(), bounds[:-1], bounds[1:], strict=True):
+        mine = keys[a:z]
+        place = np.minimum(np.searchsorted(own.keys, mine), max(0, len(own.keys) - 1))
+        known = own.keys[place] == mine if len(own.keys) else np.zeros(len(mine), bool)
+        word_at = np.repeat(np.arange(len(mine)), of_word)
+        ask_id = place[word_at] * width + context
+        at = np.minimum(np.searchsorted(pair_id, ask_id), max(0, len(pair_id) - 1))
+        seen = np.flatnonzero(known[word_at] & (pair_id[at] == ask_id)) if len(pair_id) else none
+        at, word = at[seen], place[known]
+        mean = np.zeros(len(ask_id))
+        for t, tables, served, at_parent in kept:
+            share = np.full(len(mine), (STRENGTH + t.parent_discount * t.parent_tables) / (t.vocabulary + 1))
+            share[known] += served[word] - t.parent_discount * at_parent[word]
+            p = (STRENGTH + t.discount * t.tables[context]) * share[word_at] / (STRENGTH + t.parent_customers)
+            p[seen] += own.count[at] - t.discount * tables[at]
+            mean += p / (STRENGTH + t.customers[context]) / len(kept)
+        counts = np.zeros(len(mine), np.uint32)
+        counts[known] = total[word]
+        yield _blobs(counts, np.log10(np.maximum(mean, 1e-300)).astype(np.float32))
+
+
 def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samples: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Train on all documents but those of the held-out fold of crc32(id as text), score every document.
 
@@ -246,10 +330,13 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
         at = np.concatenate(([0], np.cumsum(pairs.of_word)))
         yield from B.requests(block.block, pairs.keys, parts, functools.partial(_packed, pairs, count, at))
 
-    def gather(group: pa.Table) -> tuple[np.ndarray, np.ndarray, Asked]:
-        n = group.column("n").to_pylist()
-        keys = np.concatenate([B.stretch_keys(x.as_py(), k) for x, k in zip(group.column("keys"), n, strict=True)])
-        return keys, np.concatenate(([0], np.cumsum(n))), unpacked(group.column("extra").to_pylist())
+    def gather(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Asked]:
+        """The order of an owner's requests, by block, and what they hold."""
+        order = np.argsort(np.array(group.column("block")), kind="stable")
+        n = np.array(group.column("n"))[order]
+        column = lambda name: (memoryview(group.column(name)[i].as_buffer()) for i in order.tolist())
+        keys = np.concatenate([B.stretch_keys(x, k) for x, k in zip(column("keys"), n.tolist(), strict=True)])
+        return order, keys, np.concatenate(([0], np.cumsum(n))), unpacked(list(column("extra")))
 
     def rows_of(own: Owned, kind: int, by_context: np.ndarray) -> list[pa.RecordBatch]:
         """An owner's numbers for the owners of its contexts; those of kind 1 go to owners of their own."""
@@ -266,9 +353,10 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
         return sums, rows_of(own, 0, np.bincount(own.context, weights=tables, minlength=len(own.contexts)))
 
     def collect(group: pa.Table) -> pa.Table:
-        group = group.sort_by("block")
-        keys, bounds, asked = gather(group)
+        _, keys, bounds, asked = gather(group)
         own = merged(group.column("part")[0].as_py(), keys, asked, bounds)
+        del keys, asked
+        B.trim()
         model = _blobs(own.keys, own.word.astype(np.uint32), own.context.astype(np.uint32), own.count, np.diff(own.contexts, prepend=np.uint64(0)))
         sums, rows = seats(own, np.minimum(own.count, 1), np.bincount(own.word, minlength=len(own.keys)), np.ones(len(own.keys), np.int64))
         sums += [len(own.keys), (own.count == 1).sum(), (own.count == 2).sum(), own.count.sum()]
@@ -335,38 +423,16 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
         found = added(rows, "c t p1 p2")
 
     def answer(group: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(np.array(group.column("block")), kind="stable")
-        group = group.take(pa.array(order))
-        keys, bounds, asked = gather(group)
+        order, keys, bounds, asked = gather(group)
         own = merged(group.column("part")[0].as_py(), keys, asked, bounds)
-        history, width = history_of(own, right, scalars), len(own.contexts)
-        pair_id = own.word * width + own.context
-        place = np.minimum(np.searchsorted(own.keys, keys), max(0, len(own.keys) - 1))
-        known = own.keys[place] == keys if len(own.keys) else np.zeros(len(keys), bool)
-        total = np.bincount(own.word, weights=own.count, minlength=len(own.keys)).astype(np.uint32)
-        # every pair that is asked for: its word, context, and its place among the pairs with counts
-        word_at = np.repeat(np.arange(len(keys)), np.concatenate(asked.of_word))
-        context = np.concatenate(asked.context)
-        ask_id = place[word_at] * width + context
-        at = np.minimum(np.searchsorted(pair_id, ask_id), max(0, len(pair_id) - 1))
-        seen = known[word_at] & (pair_id[at] == ask_id) if len(pair_id) else np.zeros(len(ask_id), bool)
-        mean = np.zeros(len(ask_id))
-        for k, (tables, served, at_parent) in enumerate(sweeps(own, history[:-1], seed)):
-            if k < burn_in:
-                continue
-            t = history[k + 1]  # the totals of these very seats, so that the probabilities of all words add up to one
-            new_parent = (STRENGTH + t.parent_discount * t.parent_tables) / (t.vocabulary + 1)
-            share = np.full(len(keys), new_parent)
-            share[known] += (served - t.parent_discount * at_parent)[place[known]]
-            p = (STRENGTH + t.discount * t.tables[context]) * share[word_at] / (STRENGTH + t.parent_customers)
-            p[seen] += (own.count - t.discount * tables)[at[seen]]
-            mean += p / (STRENGTH + t.customers[context]) / samples
-        logs = np.log10(np.maximum(mean, 1e-300)).astype(np.float32)
-        counts = np.zeros(len(keys), np.uint32)
-        counts[known] = total[place[known]]
-        ends = np.concatenate(([0], np.cumsum([len(c) for c in asked.context])))
-        blobs = [_blobs(counts[a:z], logs[i:j]) for a, z, i, j in zip(bounds[:-1], bounds[1:], ends[:-1], ends[1:], strict=True)]
-        return pa.table({"block": group.column("block"), "part": group.column("part"), "answer": pa.array(blobs, pa.binary())})
+        B.trim()
+        history = history_of(own, right, scalars)
+        kept = [Sample(history[k + 1], tables.astype(np.uint32), served, at_parent) for k, (tables, served, at_parent) in enumerate(sweeps(own, history[:-1], seed)) if k >= burn_in]
+        blobs = pa.array(answers_of(own, keys, asked, bounds, kept), pa.binary())
+        blocks, part = group.column("block").take(pa.array(order)), group.column("part")
+        del own, keys, asked, history, kept
+        B.trim()
+        return pa.table({"block": blocks, "part": part, "answer": blobs})
 
     def finish(block: B.Block, blobs: dict) -> pa.Table:
         tokens = tokens_of(block)

@@ -1,5 +1,6 @@
 """Held-out quality of the trained operators."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -158,6 +159,55 @@ def test_probabilities_add_up_to_one():
         assert abs(p.sum() / (pitman_yor.STRENGTH + customers[c]) - 1) < 1e-9
 
 
+def test_an_owner_unpacks_its_requests_one_at_a_time():
+    """Counts and probabilities of an owner against dictionaries, and the peak of its memory in bytes a pair that is asked for (to merge, 39; 68 when all requests were unpacked at once)."""
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 1 << 63, 1500).astype(np.uint64))
+    keys, bounds, extras, asked_for, counted = [], [0], [], [], np.zeros(len(hashes) ** 2, np.int64)
+    for _ in range(30):
+        code = np.sort(rng.choice(len(hashes) ** 2, 30_000, replace=False))
+        count = rng.integers(0, 3, len(code)).astype(np.uint32)
+        words, of_word = np.unique(code // len(hashes), return_counts=True)
+        pairs = pitman_yor.Pairs(hashes, np.bincount(code // len(hashes), minlength=len(hashes)), code % len(hashes), None, None)
+        extras.append(pitman_yor._packed(pairs._replace(of_word=of_word), count, np.concatenate(([0], np.cumsum(of_word))), 0, len(words)))
+        keys.append(hashes[words])
+        bounds.append(bounds[-1] + len(words))
+        asked_for.append(code)
+        counted[code] += count
+    keys, bounds, total = np.concatenate(keys), np.array(bounds), sum(map(len, asked_for))
+    tracemalloc.start()
+    asked = pitman_yor.unpacked(extras)
+    own = pitman_yor.merged(0, keys, asked, bounds)
+    merging = tracemalloc.get_traced_memory()[1] / total
+    place = lambda x: np.searchsorted(hashes, x)
+    assert np.array_equal(place(own.keys)[own.word] * len(hashes) + place(own.contexts)[own.context], np.flatnonzero(counted))
+    assert np.array_equal(own.count, counted[counted > 0])
+    for piece in (1 << 10, 1 << 30):
+        assert all(np.array_equal(x, y) for x, y in zip(own, pitman_yor.merged(0, keys, asked, bounds, piece), strict=True))
+    contexts = len(own.contexts)
+    totals = pitman_yor.Totals(0.7, 0.5, len(own.keys), np.bincount(own.context, weights=own.count, minlength=contexts), np.bincount(own.context, minlength=contexts).astype(float), len(own.count), len(own.keys))
+    kept = [pitman_yor.Sample(totals, *x) for x in pitman_yor.sweeps(own, [totals] * 2, 1)]
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    found = list(pitman_yor.answers_of(own, keys, asked, bounds, kept))
+    answering = (tracemalloc.get_traced_memory()[1] - held) / total
+    tracemalloc.stop()
+    assert merging < 50 and answering < 20
+    at = {(w, c): i for i, (w, c) in enumerate(zip(own.keys[own.word].tolist(), own.contexts[own.context].tolist(), strict=True))}
+    word_of, context_of = ({x: i for i, x in enumerate(y.tolist())} for y in (own.keys, own.contexts))
+    for blob, code in list(zip(found, asked_for, strict=True))[:2]:
+        _, logs = pitman_yor._arrays(blob, np.uint32, np.float32)
+        for pair, got in list(zip(code.tolist(), logs.tolist(), strict=True))[:300]:
+            w, c = int(hashes[pair // len(hashes)]), int(hashes[pair % len(hashes)])
+            mean = 0.0
+            for t, tables, served, at_parent in kept:
+                share = (1 + 0.5 * t.parent_tables) / (t.vocabulary + 1) + (served[word_of[w]] - 0.5 * at_parent[word_of[w]] if w in word_of else 0)
+                p = (1 + 0.7 * t.tables[context_of[c]]) * share / (1 + t.parent_customers)
+                p += own.count[at[w, c]] - 0.7 * tables[at[w, c]] if (w, c) in at else 0
+                mean += p / (1 + t.customers[context_of[c]]) / len(kept)
+            assert abs(got - np.log10(mean)) < 1e-5
+
+
 def test_every_context_word_has_a_restaurant(spark):
     """6,000 words, each followed by its own: held-out text with the right followers beats text with others', for all of them."""
     words = 6000
