@@ -15,8 +15,8 @@ a restaurant has the law S(n, t) * x ** t (generalised Stirling numbers; x: the
 weight of a new table), from which it is drawn directly; for words with over
 ``STIRLING`` customers in a restaurant the law's mean and variance come from
 its saddle point. Draws are seeded by sweep and owner, so a lost task repeats
-the same ones. Predictive probabilities are averaged over the sweeps after
-burn-in.
+the same ones. Each sweep starts from the seats that the one before wrote.
+Predictive probabilities are averaged over the sweeps after burn-in.
 
 A task holds what an owner is asked about packed. It is unpacked request by
 request, again for the answers; pairs are merged by ranges of about ``PIECE``.
@@ -46,9 +46,9 @@ PIECE = 1 << 18
 STIRLING = 64
 STRENGTH = 1.0
 END = np.uint64(0xA0761D6478BD642F)  # stands for the end of a text, and as a context for the start of the next
-#: Rows of an owner: to an owner of contexts (part), or what stays with it (MODEL), with sums for the driver.
+#: Rows of an owner: to an owner of contexts (part), or what stays with it (MODEL: its counts, later its seats), with sums for the driver.
 ROWS = f"{B.REQUEST_SCHEMA}, sums array<long>"
-MODEL = -1
+MODEL, SEATS = -1, -2
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -259,11 +259,11 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, table: np.n
     return tables
 
 
-def sweeps(own: Owned, history: list[Totals], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Repeat the sweeps that start from known totals; yields tables, parent customers and parent tables after each."""
+def sweeps(own: Owned, history: list[Totals], seed: int, first: int = 0, start: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sweeps from ``first`` on, whose totals are known, from the tables and parent tables at their start; yields tables, parent customers and parent tables after each."""
     words = len(own.keys)
-    tables, at_parent = np.minimum(own.count, 1), np.ones(words, np.int64)
-    for k, totals in enumerate(history):
+    tables, at_parent = (np.minimum(own.count, 1), np.ones(words, np.int64)) if start is None else start
+    for k, totals in enumerate(history, first):
         rng = np.random.Generator(np.random.PCG64([seed, k, own.part]))
         new_parent = (STRENGTH + totals.parent_discount * totals.parent_tables) / (totals.vocabulary + 1)
         served = np.bincount(own.word, weights=tables, minlength=words)
@@ -369,9 +369,17 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
         return Owned(part, keys, word.astype(np.int64), context.astype(np.int64), count, np.cumsum(contexts, dtype=np.uint64))
 
     def exchanged(rows: DataFrame, sweep: int) -> DataFrame:
-        """The sums of all owners for each owner: (owner, sweep, kind, blob)."""
+        """The sums of all owners for each owner, and its own seats after the sweep: (owner, sweep, kind, blob)."""
         found = B.answered(rows.where(F.col("part") != MODEL).drop("sums"), summed)
-        return written(found.select(F.col("block").cast("int").alias("owner"), F.lit(sweep).alias("sweep"), F.col("part").alias("kind"), F.col("answer").alias("blob")), block_mb=16)
+        found = found.select(F.col("block").cast("int").alias("owner"), F.lit(sweep).alias("sweep"), F.col("part").alias("kind"), F.col("answer").alias("blob"))
+        if sweep:
+            stays = rows.where(F.col("part") == MODEL)
+            found = found.unionByName(stays.select(F.col("block").cast("int").alias("owner"), F.lit(sweep).alias("sweep"), F.lit(SEATS).alias("kind"), F.col("extra").alias("blob")))
+        return written(found, block_mb=16)
+
+    def since(shared: DataFrame, sweep: int) -> DataFrame:
+        """What owners get again: customers, and what was shared after this sweep or later ones."""
+        return shared.where((F.col("sweep") >= sweep) | (F.col("sweep") == 0) & (F.col("kind") >= parts))
 
     def discount(one: int, two: int) -> float:
         return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
@@ -381,17 +389,22 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
         row = rows.where(F.col("part") == MODEL).agg(*[F.sum(F.col("sums")[i]) for i in range(len(names.split()))]).first()
         return dict(zip(names.split(), (x or 0 for x in row), strict=True))
 
-    def history_of(own: Owned, right: pa.Table, scalars: list[tuple]) -> list[Totals]:
-        """The totals after each sweep, at an owner's contexts."""
-        sent = zip(right.column("sweep").to_pylist(), right.column("kind").to_pylist(), right.column("blob").to_pylist(), strict=True)
-        blobs = {(k, *divmod(kind, parts)): blob for k, kind, blob in sent if kind != MODEL}
+    def known_of(own: Owned, right: pa.Table, scalars: list[tuple], after: range) -> tuple[list[Totals], list]:
+        """The totals after these sweeps, at an owner's contexts, and its tables and parent tables (none after sweep 0: it has not been seated)."""
+        at = zip(right.column("sweep").to_pylist(), right.column("kind").to_pylist(), strict=True)
+        place = {(k, *((kind,) if kind < 0 else divmod(kind, parts))): i for i, (k, kind) in enumerate(at)}
+        blob = lambda i: memoryview(right.column("blob")[i].as_buffer())
 
-        def at(sweep: int, kind: int) -> np.ndarray:
-            mine = {(kind, p): blob for (k, c, p), blob in blobs.items() if (k, c) == (sweep, kind)}
+        def sums(sweep: int, kind: int) -> np.ndarray:
+            mine = {(kind, x[2]): blob(i) for x, i in place.items() if x[:2] == (sweep, kind) and len(x) > 2}
             return B.aligned(own.contexts, parts, mine, kind, np.int64).astype(np.float64)
 
-        customers = at(0, 1)
-        return [Totals(lower, parent, words, customers, at(k, 0), c, t) for k, (parent, c, t) in enumerate(scalars)]
+        customers, totals, seated = sums(0, 1), [], []
+        for k in after:
+            parent, c, t = scalars[k]
+            totals.append(Totals(lower, parent, words, customers, sums(k, 0), c, t))
+            seated.append(_arrays(blob(place[k, SEATS]), np.uint32, np.uint32) if k else None)
+        return totals, seated
 
     spark = docs.sparkSession
     wanted = B.asked(table, ask)  # made twice: it is larger than the blocks
@@ -411,26 +424,28 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
 
         def swept(group: pa.Table) -> pa.Table:
             model = group.filter(pc.equal(group.column("kind"), MODEL))
-            own = opened(model.column("owner")[0].as_py(), model.column("blob")[0].as_py())
-            for tables, served, at_parent in sweeps(own, history_of(own, group, scalars), seed):
-                pass
+            own = opened(model.column("owner")[0].as_py(), memoryview(model.column("blob")[0].as_buffer()))
+            last = len(scalars) - 1
+            totals, (start,) = known_of(own, group, scalars, range(last, last + 1))
+            ((tables, served, at_parent),) = sweeps(own, totals, seed, last, start and tuple(x.astype(np.int64) for x in start))
             sums, out = seats(own, tables, served, at_parent)
+            state = _blobs(tables.astype(np.uint32), at_parent.astype(np.uint32))
             B.trim()
-            return pa.concat_tables([kept(own, b"", sums), *out])
+            return pa.concat_tables([kept(own, state, sums), *out])
 
         folder = shared_folder(spark)
-        rows = written(models.unionByName(shared).groupBy("owner").applyInArrow(swept, ROWS), folder, block_mb=16)
+        rows = written(models.unionByName(since(shared, len(scalars) - 1)).groupBy("owner").applyInArrow(swept, ROWS), folder, block_mb=16)
         found = added(rows, "c t p1 p2")
 
     def answer(group: pa.Table, right: pa.Table) -> pa.Table:
         order, keys, bounds, asked = gather(group)
         own = merged(group.column("part")[0].as_py(), keys, asked, bounds)
         B.trim()
-        history = history_of(own, right, scalars)
-        kept = [Sample(history[k + 1], tables.astype(np.uint32), served, at_parent) for k, (tables, served, at_parent) in enumerate(sweeps(own, history[:-1], seed)) if k >= burn_in]
+        sampled = zip(*known_of(own, right, scalars, range(burn_in + 1, burn_in + samples + 1)), strict=True)
+        kept = [Sample(totals, tables, np.bincount(own.word, weights=tables, minlength=len(own.keys)).astype(np.int64), at_parent) for totals, (tables, at_parent) in sampled]
         blobs = pa.array(answers_of(own, keys, asked, bounds, kept), pa.binary())
         blocks, part = group.column("block").take(pa.array(order)), group.column("part")
-        del own, keys, asked, history, kept
+        del own, keys, asked, kept
         B.trim()
         return pa.table({"block": blocks, "part": part, "answer": blobs})
 
@@ -449,5 +464,5 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
             "train_tokens": pa.array(np.full(len(block.ids), train_tokens), pa.int64()), "base_score": pa.array(by_doc(base)), "score": pa.array(by_doc(logs)),
         })
 
-    answers = written(wanted.groupBy("part").cogroup(shared.groupBy("owner")).applyInArrow(answer, B.ANSWER_SCHEMA), block_mb=16)
+    answers = written(wanted.groupBy("part").cogroup(since(shared, burn_in + 1).groupBy("owner")).applyInArrow(answer, B.ANSWER_SCHEMA), block_mb=16)
     return B.with_answers(table, answers, finish, RESULT)

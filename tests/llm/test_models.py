@@ -208,6 +208,20 @@ def test_an_owner_unpacks_its_requests_one_at_a_time():
             assert abs(got - np.log10(mean)) < 1e-5
 
 
+def test_sweeps_go_on_from_seats():
+    rng = np.random.default_rng(4)
+    pairs = np.sort(rng.choice(600, 200, replace=False))
+    known, word = np.unique(pairs // 20, return_inverse=True)
+    own = pitman_yor.Owned(3, known.astype(np.uint64), word, pairs % 20, rng.integers(1, 90, 200))
+    customers = np.bincount(own.context, weights=own.count, minlength=20)
+    history = [pitman_yor.Totals(0.7, 0.5, len(known), customers, np.bincount(own.context, minlength=20) * float(k), 50 * k, len(known)) for k in range(1, 5)]
+    start = None
+    for k, whole in enumerate(pitman_yor.sweeps(own, history, 1)):
+        (step,) = pitman_yor.sweeps(own, history[k : k + 1], 1, k, start)
+        assert all(np.array_equal(x, y) for x, y in zip(whole, step, strict=True))
+        start = step[0], step[2]
+
+
 def test_every_context_word_has_a_restaurant(spark):
     """6,000 words, each followed by its own: held-out text with the right followers beats text with others', for all of them."""
     words = 6000
