@@ -177,23 +177,29 @@ def merged(part: int, keys: np.ndarray, asked: Asked, bounds: np.ndarray, piece:
         ids[ends[-2] : ends[-1]] = (np.repeat(code[a:z], of_word) * width + context)[used]
         counts[ends[-2] : ends[-1]] = count[used]
     ids = ids[: ends[-1]]
+    del code
     ranges = max(1, math.ceil(len(ids) / piece))
     sample = np.sort(ids[:: max(1, piece >> 10)])
     cuts = sample[np.arange(1, ranges) * len(sample) // ranges]
     at = [a + np.concatenate(([0], np.searchsorted(ids[a:z], cuts), [z - a])) for a, z in zip(ends[:-1], ends[1:], strict=True)]
-    pairs, sums = [], []
+    pairs, sums, done = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), 0  # more than needed; the rest is never touched
     for r in range(ranges):
         found = np.concatenate([ids[x[r] : x[r + 1]] for x in at])
         order, heads = B.distinct(found)
         count = np.concatenate([counts[x[r] : x[r + 1]] for x in at]).astype(np.int64)[order]
-        pairs.append(found[order[heads]])
-        sums.append(np.add.reduceat(count, heads) if len(heads) else count)
+        now, done = done, done + len(heads)
+        pairs[now:done] = found[order[heads]]
+        sums[now:done] = np.add.reduceat(count, heads) if len(heads) else 0
     del ids, counts
-    pairs, count = np.concatenate(pairs), np.concatenate(sums)
-    of, context = pairs // width, pairs % width
-    new = np.ones(len(of), bool)
-    new[1:] = of[1:] != of[:-1]
-    return Owned(part, word_keys[of[new]], np.cumsum(new) - 1, context, count, asked.contexts)
+    of, count = pairs[:done], sums[:done]
+    context = of % width
+    of //= width
+    new = np.ones(done, bool)
+    np.not_equal(of[1:], of[:-1], out=new[1:])
+    known = word_keys[of[new]]
+    np.cumsum(new, out=of)
+    of -= 1
+    return Owned(part, known, of, context, count, asked.contexts)
 
 
 def summed(g: B.Gathered) -> list[bytes]:
@@ -289,6 +295,7 @@ def answers_of(own: Owned, keys: np.ndarray, asked: Asked, bounds: np.ndarray, k
     width, none = len(own.contexts), np.zeros(0, np.int64)
     pair_id = own.word * width + own.context
     total = np.bincount(own.word, weights=own.count, minlength=len(own.keys)).astype(np.uint32)
+    own = own._replace(word=none, context=none)
     for (of_word, context, _), a, z in zip(asked.requests(), bounds[:-1], bounds[1:], strict=True):
         mine = keys[a:z]
         place = np.minimum(np.searchsorted(own.keys, mine), max(0, len(own.keys) - 1))
@@ -443,9 +450,11 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, burn_in: int = 2, samp
         B.trim()
         sampled = zip(*known_of(own, right, scalars, range(burn_in + 1, burn_in + samples + 1)), strict=True)
         kept = [Sample(totals, tables, np.bincount(own.word, weights=tables, minlength=len(own.keys)).astype(np.int64), at_parent) for totals, (tables, at_parent) in sampled]
-        blobs = pa.array(answers_of(own, keys, asked, bounds, kept), pa.binary())
-        blocks, part = group.column("block").take(pa.array(order)), group.column("part")
+        found = answers_of(own, keys, asked, bounds, kept)
         del own, keys, asked, kept
+        blobs = pa.array(found, pa.binary())
+        blocks, part = group.column("block").take(pa.array(order)), group.column("part")
+        del found
         B.trim()
         return pa.table({"block": blocks, "part": part, "answer": blobs})
 
