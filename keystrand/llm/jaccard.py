@@ -11,12 +11,12 @@ Equal sets are one class from the start. Classes that share a posting form
 clusters; a cluster's incidence rows meet in tiles (pairs of bounded doc
 blocks), where overlap counts are accumulated by n-gram, sets that have too few
 shared members for their size are discarded, and links are followed depth
-first, so that a tile returns a spanning forest, never all pairs of a group. A
+first, so that a tile returns its components as stars, never all pairs of a group. A
 cluster too large for one tile is cut in sides by the smallest posting of each
 set, so that near copies tend to share a side, and two sides meet in a tile
 only if they share a posting: the other blocks of the product are zero.
 Where links are counted, every pair of a tile is evaluated; a tile then returns
-one number for each class besides its forest.
+one number for each class besides its stars.
 """
 
 from __future__ import annotations
@@ -223,30 +223,31 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
     posted = written(sets.select("row", "postings").where(F.size("postings") > 0).join(heads, "row").select("row", F.array_min("postings").alias("anchor"), F.explode("postings").alias("key")))
     least = posted.groupBy("key").agg(F.min("row").alias("b"), F.count("*").alias("times"))
     edges = looked_up(posted.select("row", "key"), least, ["key"], "times", total, "row").where("row != b").select(F.col("row").alias("a"), "b").distinct()
-    clusters = written(components(edges))
 
     # where each set goes is settled on narrow rows; the members themselves move to their cluster only then
-    clusters = clusters.withColumnRenamed("node", "row").join(rows.where("row = class").select("row", "n", "copies"), "row").join(posted.select("row", "anchor").distinct(), "row")
-    weigh = clusters.groupBy("root").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).cast("int").alias("sides"), F.count("*").alias("times"))
-    heap = clusters.groupBy("root", "anchor").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).cast("int").alias("pieces"), F.count("*").alias("times"))
-    buckets = max(1, -(-(clusters.agg(F.sum("n")).first()[0] or 0) * 8 // TILE_BYTES))
-    goal = looked_up(looked_up(clusters, weigh, ["root"], "times", total, "row"), heap, ["root", "anchor"], "times", total, "row")
-    side = F.when(F.col("pieces") > 1, F.xxhash64("root", "anchor", F.pmod(F.xxhash64("row"), F.col("pieces")))).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("anchor"), F.col("sides"))))
-    goal = written(goal.withColumn("side", F.when(F.col("sides") > 1, side)).select("row", "copies", "root", "side"))
+    clusters = components(edges).withColumnRenamed("node", "row").join(rows.where("row = class").select("row", "n", "copies"), "row").join(posted.select("row", "anchor").distinct(), "row")
+    clusters = written(clusters.select("row", "root", "n", "copies", "anchor"))
+    weigh = clusters.groupBy("root").agg(F.sum("n").alias("size"), F.ceil(F.sum("n") * 8 / TILE_BYTES).cast("int").alias("sides"), F.count("*").alias("times"))
+    size, most = weigh.agg(F.sum("size"), F.max("sides")).first()
+    buckets = max(1, -(-(size or 0) * 8 // TILE_BYTES))
     # of a cluster in one tile, the tile is its root; else every pair of sides that share a posting has one, and every side by itself
-    cut = goal.where("side IS NOT NULL").select("row", "side")
-    tiles = None
-    if cut.limit(1).count():
+    goal, tiles = clusters.select("row", "copies", "root", F.lit(None).cast("long").alias("side")), None
+    if most and most > 1:
+        heap = clusters.groupBy("root", "anchor").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).cast("int").alias("pieces"), F.count("*").alias("times"))
+        goal = looked_up(looked_up(clusters, weigh.drop("size"), ["root"], "times", total, "row"), heap, ["root", "anchor"], "times", total, "row")
+        side = F.when(F.col("pieces") > 1, F.xxhash64("root", "anchor", F.pmod(F.xxhash64("row"), F.col("pieces")))).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("anchor"), F.col("sides"))))
+        goal = written(goal.withColumn("side", F.when(F.col("sides") > 1, side)).select("row", "copies", "root", "side"))
+        cut = goal.where("side IS NOT NULL").select("row", "side")
         tiles = written(tiles_of(written(posted.select("row", "key").join(cut, "row").select("key", "side").distinct())))
     member = sets.where("members is not null").select("row", "members").join(goal, "row")
-    whole = member.where("side IS NULL").select(F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("task"), F.xxhash64("root").alias("tile"), "row", "copies", F.lit(0).cast("long").alias("side"), F.lit(False).alias("apart"), "members")
-    member = whole if tiles is None else whole.unionByName(member.where("side IS NOT NULL").join(tiles, "side").select(F.col("tile").alias("task"), "tile", "row", "copies", "side", "apart", "members"))
+    whole = member.where("side IS NULL").select(F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("task"), F.xxhash64("root").alias("tile"), "row", "copies", F.lit(0).cast("long").alias("side"), F.lit(False).alias("apart"), F.lit(True).alias("whole"), "members")
+    member = whole if tiles is None else whole.unionByName(member.where("side IS NOT NULL").join(tiles, "side").select(F.col("tile").alias("task"), "tile", "row", "copies", "side", "apart", F.lit(False).alias("whole"), "members"))
 
     def link(group: pa.Table) -> pa.Table:
         tiles = np.array(group.column("tile"))
         row, members, found = np.array(group.column("row")), group.column("members"), []
-        copies, side, apart = (np.array(group.column(c)) for c in ("copies", "side", "apart"))
-        linked, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        copies, side, apart, whole = (np.array(group.column(c)) for c in ("copies", "side", "apart", "whole"))
+        linked, total, final = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         order = np.lexsort((row, tiles))
         for at in np.split(order, np.flatnonzero(np.diff(tiles[order])) + 1):
             if len(at) > 1:
@@ -257,15 +258,22 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_i
                     total.append(degree[degree > 0])
                 else:
                     tree = forest(sets, percent)
-                found += [(int(row[at[x]]), int(row[at[y]])) for x, y in tree]
+                root: dict[int, int] = {}
+                for x, y in tree:  # a tree begins at its smallest row, and has x before y
+                    root[y] = root.get(x, x)
+                found += [(int(row[at[y]]), int(row[at[x]])) for y, x in root.items()]
+                final += [bool(whole[at[0]])] * len(root)
         B.trim()
         a, b, none = np.array([x for x, _ in found], np.int64), np.array([y for _, y in found], np.int64), np.zeros(len(found), np.int64)
         own, more = np.concatenate(linked), np.concatenate(total)
-        return pa.table({"a": np.concatenate((a, own)), "b": np.concatenate((b, own)), "links": np.concatenate((none, more))})
+        return pa.table({"a": np.concatenate((a, own)), "b": np.concatenate((b, own)), "links": np.concatenate((none, more)), "whole": np.concatenate((np.array(final, bool), np.ones(len(own), bool)))})
 
     # a row of a class and itself carries links of the class, in part
-    links = written(member.groupBy("task").applyInArrow(link, "a long, b long, links long"))
-    roots = components(links)
+    links = written(member.groupBy("task").applyInArrow(link, "a long, b long, links long, whole boolean"))
+    # the stars of a cluster in one tile are its components; those of several tiles are put together
+    roots = links.where("whole AND a != b").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if tiles is not None:
+        roots = roots.unionByName(components(links.where("NOT whole").select("a", "b")))
     placed = rows.where("row = class").select("class", "copies").join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     if count_links:
         degree = links.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))

@@ -81,6 +81,11 @@ def written(df: DataFrame, folder: str | None = None, block_mb: int | None = Non
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def frequent(total: int) -> int:
+    """A key with more than so many of ``total`` rows is dealt out among tasks."""
+    return max(1000, total // 1000)
+
+
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], times: str, total: int, *spread: str) -> DataFrame:
     """Left join with a table that is unique by ``keys``, without a task that gets all rows of a frequent key.
 
@@ -88,7 +93,7 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], times: str, to
     have its key. Keys with over a thousandth of them, a thousand keys at most,
     are broadcast, and their rows are dealt out by ``spread`` instead.
     """
-    heavy = F.col(times) > max(1000, total // 1000)
+    heavy = F.col(times) > frequent(total)
     values = [c for c in table.columns if c not in keys and c != times]
     hot = table.where(heavy).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in values], F.lit(True).alias("hot_key"))
     rows = rows.join(F.broadcast(hot), keys, "left")

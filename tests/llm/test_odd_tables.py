@@ -430,3 +430,52 @@ def test_jaccard_links_equal_brute_force(spark, monkeypatch, tile):
     want = [sum(i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.n_links for r in jaccard.jaccard_join(df, count_links=True).orderBy("doc_id").collect()] == want
+
+
+@pytest.mark.parametrize("leaves", [0, 2500])
+def test_rounds_of_components(spark, monkeypatch, leaves):
+    """A chain, random edges and a node with very many: only for the last does the driver gather a table to broadcast."""
+    import random
+
+    from keystrand.llm import components as C
+
+    rng = random.Random(11)
+    names = rng.sample(range(-10_000, 10_000), 400 + leaves)  # the hub's is neither the smallest nor the largest
+    edges = [(names[i], names[i + 1]) for i in range(60)] + [(names[rng.randrange(100, 400)], names[rng.randrange(100, 400)]) for _ in range(180)]
+    edges += [(b, a) for a, b in edges[:20]] + [(names[70], names[400 + i]) for i in range(leaves)] + [(names[71], names[72])]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    plans, usual = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, *a: (plans.append(df._jdf.queryExecution().analyzed().toString()), usual(df, *a))[1])
+    found = C.components(spark.createDataFrame(edges, "a long, b long"))
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in root)
+    assert len(plans) > 2 and any("broadcast" in p for p in plans) == (leaves > 0)
+
+    plans.clear()
+    stars = [tuple(r) for r in C.components(found.toDF("a", "b")).collect()]  # what is settled is written once, and takes no round
+    assert sorted(stars) == sorted(got) and len(plans) == 1
+
+
+@pytest.mark.parametrize("tile", [1 << 23, 4_000])
+def test_clusters_in_one_tile_need_no_rounds(spark, monkeypatch, tile):
+    """A tile has its components; only those of a cluster in several tiles are put together by rounds."""
+    calls, usual = [], jaccard.components
+    monkeypatch.setattr(jaccard, "TILE_BYTES", tile)
+    monkeypatch.setattr(jaccard, "components", lambda edges: (calls.append(1), usual(edges))[1])
+    # each text links to the next ones only, in no order of ids
+    rows = [(i * 37 % 50, " ".join(f"w{j}" for j in range(i * 6, i * 6 + 60)), None) for i in range(50)] + [(50 + i, f"alone {i} in the world of texts", None) for i in range(9)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    for count_links in (False, True):
+        calls.clear()
+        assert sorted(tuple(r)[:3] for r in jaccard.jaccard_join(df, count_links=count_links).collect()) == sorted(components(rows))
+        assert len(calls) == (1 if tile > 4_000 else 2)
